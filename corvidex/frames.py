@@ -91,6 +91,35 @@ def join_unique(facts: DataFrame, dim: DataFrame, key: str, weight: str, share:
     )
 
 
+def positions(df: DataFrame, key: str, order: str) -> DataFrame:
+    """df with `position`, the place of each row within its key by order, from 0; (key, order) is unique.
+
+    No key is gathered in one task: rows are range-partitioned by (key, order) and numbered in their
+    partition, and keys that cross partitions get the counts of the partitions before.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(n, key, order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")).where("_before > 0").select(key, "_part", "_before")
+    local = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)) - 1
+    numbered = ranged.withColumn("_local", local).join(broadcast_if_small(before), [key, "_part"], "left")
+    return numbered.withColumn("position", (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long")).drop("_part", "_local", "_before")
+
+
+def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """df with the sum of value over all rows up to this one by order (unique); the driver gets one number a partition."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()))
+    sums = dict(ranged.groupBy("_part").agg(F.sum(value)).collect())
+    starts, total = [], 0
+    for part in sorted(sums):
+        starts.append((part, total))
+        total += sums[part]
+    start = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    local = F.sum(value).over(Window.partitionBy("_part").orderBy(order))
+    return ranged.withColumn("_sum", local).join(F.broadcast(start), "_part").withColumn(name, F.col("_sum") + F.col("_start")).drop("_part", "_sum", "_start")
+
+
 def valid_items(items: DataFrame) -> DataFrame:
     """Valid items without copies: (word, posting_count, doc_ids, frequencies).
 

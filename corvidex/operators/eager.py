@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvidex.frames import cut
+
 
 def eager_join_totals(left: DataFrame, right: DataFrame, key: str, left_sums: dict[str, str], right_sums: dict[str, str]) -> DataFrame:
     """Per key, what a join of left and right would give, without joining rows.
@@ -34,5 +36,6 @@ def eager_join_totals(left: DataFrame, right: DataFrame, key: str, left_sums: di
 
 def heavy_keys(totals: DataFrame, key: str, amount: str, per_mille: int) -> DataFrame:
     """Keys with at least per_mille / 1000 of the sum of amount over all keys; none if that sum is 0."""
-    whole = totals.agg(F.sum(amount))
-    return totals.where((F.col(amount) > 0) & (F.col(amount) * 1000 >= whole.scalar() * per_mille)).select(key)
+    totals = cut(totals.select(key, amount))
+    whole = totals.agg(F.sum(amount)).first()[0] or 0
+    return totals.where((F.col(amount) > 0) & (F.col(amount) * 1000 >= whole * per_mille)).select(key)
