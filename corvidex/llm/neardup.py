@@ -135,16 +135,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, le
 
     Returns (links, members). members: doc_id, rep - the smallest doc_id with the same set. links: rep_a < rep_b,
     shared, similarity - every pair of different sets at or above the threshold, none missed. Documents with
-    null content or fewer than `least` distinct shingles take no part. doc_id is a long and unique.
+    null content or fewer than `least` distinct shingles take no part. doc_id is a long; repeated rows count once,
+    and of several contents of a doc_id the one whose set has the smallest key is used.
     """
     spark = docs.sparkSession
     sets = cut(
         docs.where("content is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(_shingler(words, max(1, least)), "doc_id long, set_key string, shingles array<long>")
     )
-    keys = sets.select("doc_id", "set_key")
+    keys = sets.groupBy("doc_id").agg(F.min("set_key").alias("set_key"))
     firsts = keys.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    members = cut(keys.join(firsts, "set_key").select("doc_id", "rep"))
-    reps = cut(sets.join(members.where("doc_id = rep").select("doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "shingles"))
+    members = cut(keys.join(firsts, "set_key").select("doc_id", "rep", "set_key"))
+    own = ["doc_id", "set_key"]
+    reps = cut(sets.join(members.where("doc_id = rep").select(own), own).dropDuplicates(own).select(F.col("doc_id").alias("rep"), "shingles"))
+    members = members.select("doc_id", "rep")
 
     enough = max(50, reps.count() // 2000)
     frequent = reps.select(F.explode("shingles").alias("h")).groupBy("h").count().where(F.col("count") >= enough).orderBy(F.desc("count"), "h").limit(MOST_HOT).toPandas()
