@@ -226,7 +226,7 @@ class Inverse:
         parts = WORD.split(run)
         odd = [i for i, w in enumerate(parts) if not w.isascii()]
         hopes: dict[int, float] = {}
-        for w in {parts[i] for i in odd}:
+        for w in {parts[i] for i in odd if len(parts[i]) > 2}:
             for k, (gain, _) in self.word(w).items():
                 hopes[k] = hopes.get(k, 0.0) + gain
         for _, k in sorted(((g, k) for k, g in hopes.items() if g > 12.0), key=lambda x: (-x[0], x[1])):
@@ -244,7 +244,8 @@ class Inverse:
             if total > best:
                 best, segment = total, (low, j + 1)
         inside = odd[slice(*segment)]
-        words = {parts[i] for i in inside}  # a word that comes again is no further evidence
+        # A word that comes again is no further evidence, one of one or two characters is none.
+        words = {parts[i] for i in inside if len(parts[i]) > 2}
         new = {w: self.word(w)[k] for w in words if k in self.word(w)}
         scores = [x for _, w in new.values() for x in self.model.scores(f" {w} ")]
         if (
@@ -253,7 +254,7 @@ class Inverse:
             or sum(x > self.model.floor for x in scores) < 0.8 * len(scores)
         ):
             return None
-        at = {i: new[parts[i]][1] for i in inside if parts[i] in new}
+        at = {i: self.word(parts[i])[k][1] for i in inside if k in self.word(parts[i])}
         return "".join(at.get(i, w) for i, w in enumerate(parts))
 
 

@@ -111,13 +111,15 @@ def _labeller(model: tuple) -> Callable:
 
 
 def fit(symbols: DataFrame, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Viterbi training over all documents: label with the model so far, count, smooth with the prior. A task sends 212 numbers."""
+    """Viterbi training over all documents: label with the model so far, count, and meet the prior halfway, so that
+    states keep their meaning on any corpus. A task sends 212 numbers."""
     model = first = prior()
     for _ in range(rounds):
         cells = dict(symbols.select("symbols").mapInArrow(_counter(model), "cell int, n long").groupBy("cell").agg(F.sum("n")).collect())
         flat = np.array([cells.get(i, 0) for i in range(20 + 4 * N_SYMBOLS)], float)
         seen = flat[:4], flat[4:20].reshape(4, 4), flat[20:].reshape(4, N_SYMBOLS)
-        model = tuple((s + 1000 * p) / (s + 1000 * p).sum(-1, keepdims=True) for s, p in zip(seen, first, strict=True))
+        weight = [np.maximum(s.sum(-1, keepdims=True), 1) for s in seen]
+        model = tuple((s / w + p) / (s / w + p).sum(-1, keepdims=True) for s, w, p in zip(seen, weight, first, strict=True))
     return model
 
 

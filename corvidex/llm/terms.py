@@ -90,9 +90,9 @@ def top_terms(terms: DataFrame, ratio: float = 1.5) -> DataFrame:
     can't be read off the weight: every row of the operator is scored, and equal scores are ordered by weight.
     A word of one record doesn't compete, nor has a record with one competing word a case.
     """
-    n, avg = F.col("n_records"), F.floor(F.col("total_len") / F.col("n_records"))
+    n, avg = F.col("n_records"), F.floor(F.col("total_len") / F.greatest(F.col("n_records"), F.lit(1)))
     idf = F.ln((n - F.col("records") + 0.5) / (F.col("records") + 0.5))
-    score = idf * 2.2 * F.col("tf") / (1.2 * (0.25 + 0.75 * F.col("doc_len") / avg) + F.col("tf"))
+    score = idf * 2.2 * F.col("tf") / (1.2 * (0.25 + 0.75 * F.col("doc_len") / F.greatest(avg, F.lit(1))) + F.col("tf"))
     scored = terms.where("records >= 2").select("doc_id", "word", "weight", F.greatest(F.lit(0.0), score).alias("score"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("weight"), "word")
     two = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
