@@ -120,13 +120,15 @@ def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     return ranged.withColumn("_sum", local).join(F.broadcast(start), "_part").withColumn(name, F.col("_sum") + F.col("_start")).drop("_part", "_sum", "_start")
 
 
-def valid_items(items: DataFrame) -> DataFrame:
-    """Valid items without copies: (word, posting_count, doc_ids, frequencies).
+def valid_items(items: DataFrame, *columns: Column) -> DataFrame:
+    """Valid items without copies: the given columns, or (word, posting_count, doc_ids, frequencies).
 
     Valid: word neither null nor empty, both arrays there and as long as posting_count, every
     frequency non-null and >= 1. Of several valid items with the same (run_no, item_no) one stays.
+    Columns are computed before copies are dropped, so that arrays no one needs are not shuffled.
     """
-    return items.where(valid_item()).select("run_no", "item_no", "word", "posting_count", "doc_ids", "frequencies").dropDuplicates(["run_no", "item_no"]).drop("run_no", "item_no")
+    chosen = columns or tuple(F.col(c) for c in ("word", "posting_count", "doc_ids", "frequencies"))
+    return items.where(valid_item()).select(*chosen, F.struct("run_no", "item_no").alias("_item")).dropDuplicates(["_item"]).drop("_item")
 
 
 def valid_item() -> Column:

@@ -16,7 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _word_totals(spark: SparkSession, d: str) -> DataFrame:
     """Rows, postings and summed frequencies of every word, with those of its nodes and of their join."""
-    items = valid_items(table(spark, d, "parsed_items")).select("word", "posting_count", F.aggregate("frequencies", F.lit(0).cast("long"), lambda a, f: a + f).alias("frequency"))
+    frequency = F.aggregate("frequencies", F.lit(0).cast("long"), lambda a, f: a + f).alias("frequency")
+    items = valid_items(table(spark, d, "parsed_items"), F.col("word"), F.col("posting_count"), frequency)
     nodes = valid_nodes(table(spark, d, "linked_list_nodes"))
     return eager_join_totals(items, nodes, "word", {"postings": "posting_count", "frequency": "frequency"}, {"node_frequency": "frequency"})
 
