@@ -17,35 +17,33 @@ LONG = 2_000  # bytes; longer words are merged by a heap, as every round of a qu
 MOST_KEPT = 200_000
 
 # Rows (word, position, token) of the words that still change are joined with the merge table in each round.
-# All pairs of a word's least rank are contracted at once, leftmost first where they overlap (every second
-# one of a run): merging them one by one gives the same, as a pair with the new token has a higher rank.
+# All pairs of a word's least rank are contracted at once, leftmost first where they overlap: of a run of hits
+# the first, third and so on (`since` counts them, `before` those up to the row before). Merging them one by one
+# gives the same, as a pair with the new token has a higher rank.
 MERGE = """
 with recursive state as (
     select 0 as round, word, pos, token from start
     union all
-    select round + 1, word, pos, case when take then merged else token end
+    select round + 1, word, pos, case when since % 2 = 1 then merged else token end
     from (
-        select *, lag(take, 1, false) over (partition by word order by pos) as taken
+        select *,
+            place - coalesce(max(case when not hit then place end) over (w rows between unbounded preceding and current row), 0) as since,
+            place - 1 - coalesce(max(case when not hit then place end) over (w rows between unbounded preceding and 1 preceding), 0) as before
         from (
-            select *, hit and (row_number() over (partition by word, hit, run order by pos)) % 2 = 1 as take
+            select *, coalesce(rank = least, false) as hit
             from (
-                select *, place - row_number() over (partition by word, hit order by pos) as run
+                select p.*, m.rank, m.token as merged, min(m.rank) over (partition by p.word) as least
                 from (
-                    select *, coalesce(rank = least, false) as hit
-                    from (
-                        select p.*, m.rank, m.token as merged, min(m.rank) over (partition by p.word) as least
-                        from (
-                            select *, lead(token) over (partition by word order by pos) as following,
-                                row_number() over (partition by word order by pos) as place
-                            from state
-                        ) p left join merges m on m.a = p.token and m.b = p.following
-                    )
-                    where least is not null
-                )
+                    select *, lead(token) over (partition by word order by pos) as following,
+                        row_number() over (partition by word order by pos) as place
+                    from state
+                ) p left join merges m on m.a = p.token and m.b = p.following
             )
+            where least is not null
         )
+        window w as (partition by word order by pos)
     )
-    where not taken
+    where before % 2 = 0
 )
 select word, list(token order by pos) as ids
 from (select *, max(round) over (partition by word) as last from state)
