@@ -9,14 +9,16 @@ from corvidex.frames import current_rows
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, content) of a file of lines `doc_id TAB content`; lines without a tab or a numeric doc_id are skipped.
+    """(doc_id, content, row_seq) of files of lines `doc_id TAB content`; lines without a tab or a numeric doc_id are skipped.
 
     The first tab ends the doc_id; a last line without a line feed counts. Of a repeated doc_id every line
-    comes out: see page_table. Files are split by Spark, so size and number of files don't matter.
+    comes out, row_seq orders them as they stand (by file, then place), and page_table keeps the last. Files are
+    split by Spark, so size and number of files don't matter.
     """
-    line = spark.read.text(path).select("value").where(F.instr("value", "\t") > 0)
+    line = spark.read.text(path).where(F.instr("value", "\t") > 0)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     return line.select(
-        F.expr("substring(value, 1, instr(value, '\t') - 1)").try_cast("long").alias("doc_id"), F.expr("substring(value, instr(value, '\t') + 1)").alias("content")
+        F.expr("substring(value, 1, instr(value, '\t') - 1)").try_cast("long").alias("doc_id"), F.expr("substring(value, instr(value, '\t') + 1)").alias("content"), place.alias("row_seq")
     ).where("doc_id is not null")
 
 

@@ -57,7 +57,9 @@ def test_page_table_and_tsv(spark, tmp_path):
     loads = spark.createDataFrame([(1, 7, "old", "x"), (2, 7, "new", "x"), (3, 8, None, "x"), (4, None, "lost", "x")], "row_seq long, doc_id long, content string, _rank string")
     assert [tuple(r) for r in documents.page_table(loads).collect()] == [(7, "new")]
     (tmp_path / "c.tsv").write_text("1\ta\tb\nno tab\nx\ty\n1\tagain\n2\tlast, no line feed")
-    assert sorted(map(tuple, documents.read_tsv(spark, str(tmp_path / "c.tsv")).collect())) == [(1, "a\tb"), (1, "again"), (2, "last, no line feed")]
+    lines = documents.read_tsv(spark, str(tmp_path / "c.tsv"))
+    assert sorted((r.doc_id, r.content) for r in lines.collect()) == [(1, "a\tb"), (1, "again"), (2, "last, no line feed")]
+    assert sorted(map(tuple, documents.page_table(lines).collect())) == [(1, "again"), (2, "last, no line feed")]
     assert [tuple(r) for r in documents.lookup(docs(spark, ["a"]), [0, 5]).orderBy("doc_id").collect()] == [(0, "a"), (5, None)]
 
 
@@ -149,3 +151,18 @@ def test_runs_merge_to_postings(spark):
     d = docs(spark, ["a b a", "b", "c a", None, "a"])
     merged = corpus.merge_runs(corpus.segment_postings(d, 3))
     assert sorted(map(tuple, merged.collect())) == sorted((r.term, r.doc_id, r.tf) for r in corpus.postings(d).collect())
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from corvidex import __main__ as cli
+
+    (tmp_path / "c.tsv").write_text("3\told\n1\tred fox\n2\tblue hen\n3\tred hen\n4\tgreen tree\n5\told tree\n")
+    cli.main(["index", str(tmp_path / "c.tsv"), str(tmp_path / "i")])
+    cli.main(["search", str(tmp_path / "i"), "red", "hen", "--mode", "and"])
+    assert capsys.readouterr().out.split("\t")[::2] == ["3", "red hen\n"]
+    typed = iter(["9", "1", "...", "2", "fox", "3"])
+    monkeypatch.setattr("builtins.input", lambda _: next(typed))
+    cli.main(["search", str(tmp_path / "i")])
+    assert "1\t" in capsys.readouterr().out
+    monkeypatch.setattr("builtins.input", lambda _: (_ for _ in ()).throw(EOFError))
+    assert list(cli.asked()) == []
