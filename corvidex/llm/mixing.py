@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvidex.frames import bounded, cut
+from corvidex.frames import bounded, cut, positions
 
 SUB_BLOCKS = 1_024
 MOST_SOURCES = 10_000
@@ -17,10 +17,17 @@ MOST_DRAWS = 1_000_000
 
 @dataclass(frozen=True)
 class Mix:
-    """rows: doc_id, source, repeat, shard, place. report: one row a target source, with the shares reached."""
+    """drawn: doc_id, source, repeat, shard. report: one row a target source, with the shares reached."""
 
-    rows: DataFrame
+    drawn: DataFrame
     report: DataFrame
+    seed: int
+
+    @property
+    def rows(self) -> DataFrame:
+        """drawn with `place`, from 1: each shard in random order, however large it is."""
+        order = F.struct(F.xxhash64(F.lit(self.seed + 2), "doc_id", "repeat").alias("h"), "doc_id", "repeat").alias("order")
+        return positions(self.drawn.select("*", order), "shard", "order").select("doc_id", "source", "repeat", "shard", (F.col("position") + 1).alias("place"))
 
 
 def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -113,16 +120,10 @@ def mix_sources(sized: DataFrame, targets: DataFrame, shards: int = 16, blocks:
             split = s in edge and (block, repeat) == edge[s][:2]
             dealt.append((s, block, repeat, shard, parts[s] if split else None))
     deal = F.broadcast(spark.createDataFrame(dealt, "s int, block int, repeat int, shard int, subs array<int>"))
-    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "repeat"), "doc_id", "repeat")
-    mixed = (
-        spread.join(deal, ["s", "block"])
-        .where("subs is null or array_contains(subs, sub)")
-        .select("doc_id", "source", "repeat", "shard")
-        .withColumn("place", F.row_number().over(order))
-    )
+    mixed = spread.join(deal, ["s", "block"]).where("subs is null or array_contains(subs, sub)").select("doc_id", "source", "repeat", "shard")
     whole = int(drawn.sum())
     report = [
         (r["source"], float(r["target_share"]), int(r["max_repeats"]), int(n_rows[s]), int(tokens[s]), float(want[s]), int(drawn[s]), float(drawn[s]) / whole if whole else 0.0, bool(short[s]))
         for s, r in enumerate(wanted)
     ]
-    return Mix(mixed, spark.createDataFrame(report, schema))
+    return Mix(mixed, spark.createDataFrame(report, schema), seed)
