@@ -124,7 +124,7 @@ def valid_items(items: DataFrame, *columns: Column) -> DataFrame:
     """Valid items without copies: the given columns, or (word, posting_count, doc_ids, frequencies).
 
     Valid: word neither null nor empty, both arrays there and as long as posting_count, every
-    frequency non-null and >= 1. Of several valid items with the same (run_no, item_no) one stays.
+    frequency non-null and >= 1. Of several valid items with the same (run_no, item_no), nulls being alike, one stays.
     Columns are computed before copies are dropped, so that arrays no one needs are not shuffled.
     """
     chosen = columns or tuple(F.col(c) for c in ("word", "posting_count", "doc_ids", "frequencies"))

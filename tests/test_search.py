@@ -166,3 +166,21 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert "1\t" in capsys.readouterr().out
     monkeypatch.setattr("builtins.input", lambda _: (_ for _ in ()).throw(EOFError))
     assert list(cli.asked()) == []
+
+
+def test_and_is_part_of_or_whatever_the_order_of_rows(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("ab cd ef gh ij kl".split(), k=rng.randrange(9))) for _ in range(120)]
+    d = docs(spark, texts)
+    found = {}
+    for name, rows in (("plain", d), ("shuffled", d.orderBy(F.rand(3)).repartition(5))):
+        scores = search.byte_scores(index.impacts(rows))
+        found[name] = {m: [tuple(r) for r in search.search(scores, "ab kl gh", m, 200).orderBy("rank").collect()] for m in ("and", "or")}
+    assert found["plain"] == found["shuffled"]
+    either = {r[1]: r[2] for r in found["plain"]["or"]}
+    assert all(either[r[1]] == r[2] for r in found["plain"]["and"])
+    batch = spark.createDataFrame([("x", "ab kl gh"), ("y", "nothing"), ("z", None), ("w", "ab ab")], "item string, text string")
+    scores = search.byte_scores(index.impacts(d))
+    got = search.search_batch(scores, batch, "or", 200).collect()
+    assert {r.item for r in got} == {"x", "w"}
+    assert sorted((r.rank, r.doc_id, r.score) for r in got if r.item == "x") == found["plain"]["or"]
