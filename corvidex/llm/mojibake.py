@@ -170,6 +170,7 @@ class Inverse:
         self.swaps = swap_tables()
         self.words: dict[str, dict[int, tuple[float, str]]] = {}
         self.clusters: dict[str, dict[str, str]] = {}
+        self.seen: dict[int, list[int]] = {}
 
     def cluster(self, text: str) -> dict[str, str]:
         """Of a cluster of non-ASCII characters, by encoding, the UTF-8 text its bytes are; only with known characters."""
@@ -189,17 +190,26 @@ class Inverse:
             self.clusters[text] = found
         return found
 
+    def images(self, char: int) -> list[int]:
+        """What each swap makes of a character."""
+        if (found := self.seen.get(char)) is None:
+            found = self.seen[char] = [table.get(char, char) for _, table in self.swaps]
+        return found
+
     def word(self, text: str) -> dict[int, tuple[float, str]]:
         """Of a word, by swap, the gain and the new word where that is more probable."""
         if (found := self.words.get(text)) is None:
-            before, seen, found = sum(self.model.scores(f" {text} ")), {}, {}
-            for k, (_, table) in enumerate(self.swaps):
-                new = text.translate(table)
-                if new != text:
-                    if new not in seen:
-                        seen[new] = sum(self.model.scores(f" {new} ")) - before
-                    if seen[new] > 0:
-                        found[k] = (seen[new], new)
+            before, found = sum(self.model.scores(f" {text} ")), {}
+            chars = sorted({ord(c) for c in text if c > "\x7f"})
+            alike: dict[tuple[int, ...], list[int]] = {}  # swaps that make the same of these characters
+            for k, images in enumerate(zip(*(self.images(c) for c in chars), strict=True)):
+                alike.setdefault(images, []).append(k)
+            for images, ks in alike.items():
+                if images != tuple(chars):
+                    new = text.translate(dict(zip(chars, images, strict=True)))
+                    gain = sum(self.model.scores(f" {new} ")) - before
+                    if gain > 0:
+                        found.update((k, (gain, new)) for k in ks)
             if len(self.words) > MOST_KEPT:
                 self.words.clear()
             self.words[text] = found
