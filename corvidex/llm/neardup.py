@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvidex.frames import cut
+from corvidex.frames import broadcast_if_small, cut
 
 TOKEN = re.compile("[0-9A-Za-z]+")
 MOST_HOT = 200_000  # frequent shingles known to every task; the others only lose their place in the order
@@ -56,7 +56,7 @@ def _shingler(words: int, least: int) -> Callable:
 
 
 def signatures(sets: list[np.ndarray], hot: tuple[np.ndarray, np.ndarray], similarity: float, least: int) -> dict[str, np.ndarray]:
-    """Rows (set, sig, own, salts) of the sets and (p0, p1), a parity sketch of 128 bits, of each set.
+    """Rows (set, sig, own) of the sets and (p0, p1), a parity sketch of 128 bits, of each set.
 
     The hash space of a size band is cut into blocks, three for each member of its largest set, and a
     block's members are XORed. Two sets that differ in d members differ in at most d blocks; so of the
@@ -73,7 +73,7 @@ def signatures(sets: list[np.ndarray], hot: tuple[np.ndarray, np.ndarray], simil
     ends, far = bands(least, similarity), np.floor(sizes / similarity + 1e-9).astype(np.int64)
     band = np.searchsorted(ends, sizes, "right") - 1
     part = (1 - similarity) / (1 + similarity)
-    out: dict[str, list] = {"set": [], "sig": [], "own": [], "freq": []}
+    out: dict[str, list] = {"set": [], "sig": [], "own": []}
     for own in (True, False):
         label = band if own else band + 1
         upper = ends[label + 1]
@@ -98,18 +98,15 @@ def signatures(sets: list[np.ndarray], hot: tuple[np.ndarray, np.ndarray], simil
         out["set"].append(of[order][keep])
         out["sig"].append(sig[order][keep])
         out["own"].append(np.full(keep.sum(), own))
-        out["freq"].append(rare[order][keep])
         weak = (filled[own_doc] <= d[own_doc])
         out["set"].append(own_doc[weak])
         out["sig"].append(mix(own_h[weak] ^ mix(label[own_doc[weak]].astype(np.uint64), 0x3EAC), 11))
         out["own"].append(np.full(weak.sum(), own))
-        out["freq"].append(own_freq[weak])
     bit = mix(h, 0x5EED) % np.uint64(128)
     odd = np.zeros((len(sets), 128), np.uint8)
     np.bitwise_xor.at(odd, (doc, bit.astype(int)), 1)
     sketch = np.packbits(odd, axis=1).view(np.int64)
     result = {k: np.concatenate(v) for k, v in out.items()}
-    result["salts"] = np.maximum(1, -(-result.pop("freq") // SALT_ROWS)).astype(np.int32)
     return result | {"p0": sketch[:, 0].copy(), "p1": sketch[:, 1].copy(), "n": sizes}
 
 
@@ -123,8 +120,8 @@ def _sketcher(hot: object, similarity: float, least: int) -> Callable:
                 s = signatures(sets, hot.value, similarity, least)
                 of = s["set"]
                 yield pa.record_batch(
-                    [pa.array(s["sig"].view(np.int64)), pa.array(ids[of]), pa.array(s["n"][of].astype(np.int32)), pa.array(s["own"]), pa.array(s["salts"]), pa.array(s["p0"][of]), pa.array(s["p1"][of])],
-                    names=["sig", "rep", "n", "own", "salts", "p0", "p1"],
+                    [pa.array(s["sig"].view(np.int64)), pa.array(ids[of]), pa.array(s["n"][of].astype(np.int32)), pa.array(s["own"]), pa.array(s["p0"][of]), pa.array(s["p1"][of])],
+                    names=["sig", "rep", "n", "own", "p0", "p1"],
                 )
 
     return run
@@ -155,9 +152,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, le
     order = np.argsort(known)
     hot = spark.sparkContext.broadcast((known[order], frequent["count"].to_numpy(np.int64)[order]))
 
-    rows = cut(reps.mapInArrow(_sketcher(hot, similarity, max(1, least)), "sig long, rep long, n int, own boolean, salts int, p0 long, p1 long"))
-    left = rows.select("sig", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "own", "p0", "p1")], F.pmod(F.xxhash64("rep"), F.col("salts").cast("long")).cast("int").alias("salt"))
-    right = rows.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "own", "p0", "p1")], F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rows = cut(reps.mapInArrow(_sketcher(hot, similarity, max(1, least)), "sig long, rep long, n int, own boolean, p0 long, p1 long"))
+    crowded = broadcast_if_small(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > SALT_ROWS))
+
+    def side(df: DataFrame, name: str, *salt: Column) -> DataFrame:
+        return df.select("sig", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "own", "p0", "p1")], *salt)
+
+    # Both sides of the first join are the same rows: they are shuffled once. Signatures of very many sets are salted.
+    few, many = rows.join(crowded.select("sig"), "sig", "left_anti"), rows.join(crowded, "sig")
+    salts = F.ceil(F.col("sets") / SALT_ROWS)
+    salt, every = F.pmod(F.xxhash64("rep"), salts).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")
+    met = side(few, "a").join(side(few, "b"), "sig").unionByName(side(many, "a", salt).join(side(many, "b", every), ["sig", "salt"]).drop("salt"))
     part = (1 - similarity) / (1 + similarity)
     apart = F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))) + F.bit_count(F.col("p1_a").bitwiseXOR(F.col("p1_b")))
     near = (
@@ -166,7 +171,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, le
         & (F.least("n_a", "n_b") + 1e-9 >= similarity * F.greatest("n_a", "n_b"))
         & (apart <= part * (F.col("n_a") + F.col("n_b")) + 1e-9)
     )
-    candidates = cut(left.join(right, ["sig", "salt"]).where(near).select("rep_a", "rep_b").distinct())
+    candidates = cut(met.where(near).select("rep_a", "rep_b").distinct())
     shared = F.size(F.array_intersect("s_a", "s_b"))
     verified = (
         candidates.join(reps.select(F.col("rep").alias("rep_a"), F.col("shingles").alias("s_a")), "rep_a")

@@ -108,6 +108,17 @@ def test_near_duplicates(spark, words, least, similarity):
     assert neardup.document_pairs(links, members).count() == 0
 
 
+def test_salted_signatures_give_the_same_links(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(40)]
+    base = rng.choices(vocabulary, k=40)
+    texts = {i: " ".join(edited(rng, vocabulary, base, 3)) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, content string")
+    monkeypatch.setattr(neardup, "SALT_ROWS", 7)
+    got = [tuple(r) for r in neardup.document_pairs(*neardup.near_duplicates(df, 0.6, 3, 8)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(texts, 3, 8, 0.6)
+
+
 def test_no_link_is_lost_by_signatures():
     """Whatever is frequent, similar sets share a signature in a band of one of them."""
     rng = np.random.default_rng(3)
