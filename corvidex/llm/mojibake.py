@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvidex.frames import cut
+from corvidex.llm.chars import codepoints
 
 # Encodings a text may have been read with, and those it may have been written in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "iso8859-2", "iso8859-15", "cp1254", "cp852")
@@ -26,10 +27,6 @@ NOT_ASCII = re.compile("[^\x00-\x7f]+")
 LOST = "�"
 
 
-def codepoints(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
 def pair_codes(chars: np.ndarray) -> np.ndarray:
     return (chars[:-1].astype(np.int64) << 21) | chars[1:]
 
