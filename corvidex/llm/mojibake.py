@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import astuple, dataclass
 from functools import cached_property
@@ -31,9 +32,47 @@ def pair_codes(chars: np.ndarray) -> np.ndarray:
     return (chars[:-1].astype(np.int64) << 21) | chars[1:]
 
 
+def as_utf8(cluster: str, read_as: str) -> str | None:
+    """The text whose UTF-8 bytes give a cluster of non-ASCII characters when read so, if there is one."""
+    raw = as_bytes(cluster, read_as) if len(cluster) > 1 else None
+    try:
+        return raw.decode("utf-8") if raw is not None else None
+    except UnicodeDecodeError:
+        return None
+
+
+def misread(cluster: str) -> bool:
+    """Whether a cluster by itself looks like UTF-8 read wrongly.
+
+    All of its bytes are UTF-8 in some encoding, and it gives several characters, or a mark or symbol, or starts with
+    an upper-case letter or symbol; a lower-case letter before a mark or space may be plain text.
+    """
+    found = [new for read_as in READ_AS if (new := as_utf8(cluster, read_as)) is not None]
+    lead = unicodedata.category(cluster[0])
+    return any(len(new) > 1 or lead[0] == "S" or lead == "Lu" or unicodedata.category(new)[0] in "PS" for new in found)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of pairs but those at UTF-8 that was read wrongly: whatever its share, it never becomes probable."""
+    known: dict[str, bool] = {}
+
+    def codes_of(text: str) -> np.ndarray:
+        codes = pair_codes(codepoints(text))
+        if text.isascii():
+            return codes
+        kept = np.ones(len(codes), bool)
+        for m in NOT_ASCII.finditer(text):
+            if len(m.group()) > 1:
+                if (bad := known.get(m.group())) is None:
+                    if len(known) > MOST_KEPT:
+                        known.clear()
+                    bad = known[m.group()] = misread(m.group())
+                if bad:
+                    kept[max(m.start() - 1, 0) : m.end()] = False
+        return codes[kept]
+
     for batch in batches:
-        codes = [pair_codes(codepoints(t)) for t in batch.column(0).to_pylist() if len(t) > 1]
+        codes = [codes_of(t) for t in batch.column(0).to_pylist() if len(t) > 1]
         values, counts = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.empty(0, np.int64), np.empty(0, np.int64))
         yield pa.record_batch([pa.array(values), pa.array(counts.astype(np.int64))], names=["pair", "n"])
 
@@ -73,8 +112,8 @@ class PairModel:
 
 
 def fit_pairs(texts: DataFrame) -> PairModel:
-    """Count the adjacent pairs of all texts (one column). The driver gets pairs with a share of RAREST or more only."""
-    counts = cut(texts.where("content is not null").select("content").mapInArrow(_count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    """Count the adjacent pairs of all distinct texts (one column). The driver gets pairs with a share of RAREST or more only."""
+    counts = cut(texts.where("content is not null").select("content").distinct().mapInArrow(_count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     known = counts.where(F.col("n") >= max(total * RAREST, 2)).toPandas().sort_values("pair")
     pairs, n = known["pair"].to_numpy(np.int64), known["n"].to_numpy(float)
@@ -173,15 +212,12 @@ class Inverse:
         """Of a cluster of non-ASCII characters, by encoding, the UTF-8 text its bytes are; only with known characters."""
         if (found := self.clusters.get(text)) is None:
             found = {}
-            for read_as in READ_AS if len(text) > 1 else ():
-                raw = as_bytes(text, read_as)
-                if raw is not None:
-                    try:
-                        new = raw.decode("utf-8")
-                    except UnicodeDecodeError:
-                        continue
-                    if self.model.chars.issuperset(new):
-                        found[read_as] = new
+            for read_as in READ_AS:
+                new = as_utf8(text, read_as)
+                if new is not None and misread(new) and (deeper := self.cluster(new)):  # read wrongly more than once
+                    new = next(iter(deeper.values()))
+                if new is not None and self.model.chars.issuperset(new):
+                    found[read_as] = new
             if len(self.clusters) > MOST_KEPT:
                 self.clusters.clear()
             self.clusters[text] = found
@@ -320,7 +356,7 @@ def _repairer(model: object) -> Callable:
 def wrongly_decoded(docs: DataFrame) -> DataFrame:
     """(doc_id, restored, mappings) of the documents (doc_id, content) with wrongly decoded parts.
 
-    Adjacent pairs are counted over all documents. Of a document's pairs, those that contribute little to the
+    Adjacent pairs are counted over all distinct contents, without those of UTF-8 read wrongly. Of a document's pairs, those that contribute little to the
     corpus's mutual information form improbable runs (maximal-scoring segments); in these only, inverse mappings
     are tested, and kept if they make the run clearly more probable. Characters lost to U+FFFD can't be restored
     and stay. Null and empty contents, and those of ASCII only, are never cases.

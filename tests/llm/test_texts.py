@@ -154,3 +154,19 @@ def test_heap_and_query_agree():
     long = "abcth" * 5000
     encoder.learn([long])
     assert sum(len(x) for x in [encoder.kept[long]]) > 0
+
+
+@pytest.mark.parametrize(("true", "wrong", "k", "same"), [("koi8-r", "cp1251", 5, True), ("utf-8", "cp1252", 6, True), ("utf-8", "cp1252", 6, False), ("utf-8", "cp1251", 5, False)])
+def test_damage_of_a_third_of_the_rows_is_found(spark, true, wrong, k, same):
+    texts = corpus(3)
+    damaged = {}
+    for i in range(350):
+        t = texts[k] if same else texts[7 * (i % 50) + k] + f" {i}"
+        shown = t.encode(true).decode(wrong, "ignore")
+        if shown.encode(wrong).decode(true, "ignore") == t:
+            damaged[1000 + i] = (t, shown)
+    assert len(damaged) > 100
+    df = spark.createDataFrame([*enumerate(texts), *((i, shown) for i, (_, shown) in damaged.items())], "doc_id long, content string")
+    got = {r.doc_id: r.restored for r in mojibake.wrongly_decoded(df).collect()}
+    assert set(got) == set(damaged)
+    assert sum(got[i] == t for i, (t, _) in damaged.items()) >= 0.9 * len(damaged)
