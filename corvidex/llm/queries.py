@@ -38,8 +38,8 @@ def _mix(spark: SparkSession, d: str) -> mixing.Mix:
     return mixing.mix_sources(sized, table(spark, d, "mix_targets"))
 
 
-def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return spans.shared_spans(table(spark, d, "documents"))
+def _spans(spark: SparkSession, d: str, every: bool = True) -> tuple[DataFrame, DataFrame]:
+    return spans.shared_spans(table(spark, d, "documents"), every=every)
 
 
 def _p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +56,7 @@ def _p4_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p10_found(spark: SparkSession, d: str) -> DataFrame:
-    found, members = _spans(spark, d)
+    found, members = _spans(spark, d, every=False)
     return neardup.document_pairs(found.select("rep_a", "rep_b").distinct(), members)
 
 

@@ -15,6 +15,8 @@ from corvidex.llm.neardup import mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SALT_ROWS = 2_000
+KEPT_TEXTS = 100  # of a batch, whose anchors stay for the next pair
+MOST_ROWS = 50_000  # spans of a batch that goes back to Spark
 PLACE_BITS = 31  # more than the longest text has characters; 33 bits of hash are left to order neighbours
 
 
@@ -54,7 +56,7 @@ def anchors(text: str, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) of the anchors of a text. Any `length` characters hold one, chosen by these characters alone.
 
     Of anchors with the same `length` characters to either side within the text the first stays: what an
-    anchor shows beyond the threshold is the same for all of them.
+    anchor shows beyond the threshold is the same for all of them, so this is for finding pairs of texts only.
     """
     chars = codepoints(text)
     hashes = gram_hashes(chars, gram)
@@ -94,6 +96,70 @@ def extend(a: np.ndarray, b: np.ndarray, at: int, bt: int) -> tuple[int, int, in
     return at - behind, bt - behind, behind + ahead
 
 
+def _all_anchors(text: str, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(characters, positions, hashes, keys) of all anchors of a text, those with the same surroundings included.
+
+    Anchors with equal hashes and keys also follow equal anchors at the same distance, without a gap between.
+    """
+    chars = codepoints(text)
+    hashes = gram_hashes(chars, gram)
+    at = winnow(hashes, length - gram + 1)
+    hashes, gap = hashes[at], np.diff(at)
+    before = mix(hashes[:-1] + mix(gap.astype(np.uint64), 7), 9)
+    return chars, at, hashes, np.concatenate([np.zeros(min(1, len(at)), np.uint64), np.where(gap <= gram, before, np.uint64(0))])
+
+
+def every_match(a: tuple, b: tuple, length: int) -> Iterator[tuple[int, int, int]]:
+    """(start in a, start in b, length) of each maximal common run of at least `length` characters, of two texts' _all_anchors.
+
+    Of anchors that follow equal ones the run is met at those, so repeats back to back cost what they give.
+    """
+    (x, at_x, hash_x, key_x), (y, at_y, hash_y, key_y) = a, b
+    order_x, order_y = np.argsort(hash_x, kind="stable"), np.argsort(hash_y, kind="stable")
+    sorted_x, sorted_y = hash_x[order_x], hash_y[order_y]
+    for h in np.intersect1d(hash_x, hash_y):
+        i = order_x[np.searchsorted(sorted_x, h) : np.searchsorted(sorted_x, h, "right")]
+        j = order_y[np.searchsorted(sorted_y, h) : np.searchsorted(sorted_y, h, "right")]
+        for key in np.unique(key_x[i]):
+            others = at_y[j[(key_y[j] != key) | (key == 0)]].tolist()
+            for p in at_x[i[key_x[i] == key]].tolist() if others else ():
+                for q in others:
+                    start_x, start_y, size = extend(x, y, p, q)
+                    if size >= length:
+                        # The first anchor that both have in the run stands for it.
+                        own = at_x[np.searchsorted(at_x, start_x) : np.searchsorted(at_x, p)]
+                        if not np.isin(own - (p - q), at_y[np.searchsorted(at_y, start_y) : np.searchsorted(at_y, q)]).any():
+                            yield start_x, start_y, size
+
+
+def _matcher(length: int, gram: int) -> Callable:
+    names = ["rep_a", "rep_b", "start_a", "start_b", "length"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            known: dict[int, tuple] = {}
+            for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for rep, text in ((a, text_a), (b, text_b)):
+                    if rep not in known:
+                        if len(known) >= KEPT_TEXTS:
+                            known = {k: v for k, v in known.items() if k in (a, b)}
+                        known[rep] = _all_anchors(text, length, gram)
+                for match in every_match(known[a], known[b], length):
+                    rows.append((a, b, *match))
+                    if len(rows) >= MOST_ROWS:
+                        yield table(rows)
+                        rows = []
+            yield table(rows)
+
+    return run
+
+
 def _extender(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +178,7 @@ def _extender(length: int) -> Callable:
     return run
 
 
-def shared_spans(docs: DataFrame, length: int = 200, gram: int = 160) -> tuple[DataFrame, DataFrame]:
+def shared_spans(docs: DataFrame, length: int = 200, gram: int = 160, every: bool = True) -> tuple[DataFrame, DataFrame]:
     """Of documents (doc_id, text), the maximal runs of at least `length` characters that two different texts share.
 
     Returns (spans, members). members: doc_id, rep (the smallest doc_id with the same text), n_chars, for all texts
@@ -120,7 +186,8 @@ def shared_spans(docs: DataFrame, length: int = 200, gram: int = 160) -> tuple[D
     on the hashes of winnowed runs of `gram` characters and every seed is checked and extended on the texts
     themselves; the nearer gram is to length, the fewer seeds fail and the more there are. Null and shorter
     texts take no part, repeated rows count once, and of several texts of a doc_id the one with the smallest hash
-    is used. Of positions within one text with the same surroundings one is reported.
+    is used. Of a passage that a text repeats, every position is reported with every position in the other text;
+    without `every`, one of those with the same surroundings, which is enough to know the pairs.
     """
     if not 0 < gram <= length:
         raise ValueError("gram must be from 1 to length")
@@ -138,8 +205,12 @@ def shared_spans(docs: DataFrame, length: int = 200, gram: int = 160) -> tuple[D
     seeds = cut(join_unique(rows, several.select("sig", "n"), "sig", "n").withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int")))
     left = seeds.select("sig", F.col("rep").alias("rep_a"), F.col("at").alias("at_a"), F.pmod(F.xxhash64("rep", "at"), F.col("salts").cast("long")).cast("int").alias("salt"))
     right = seeds.select("sig", F.col("rep").alias("rep_b"), F.col("at").alias("at_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    # Seeds at the same shift that start less than gram apart overlap, so they extend to the same run: one is kept.
     met = left.join(right, ["sig", "salt"]).where("rep_a < rep_b")
+    if every:
+        pairs = met.select("rep_a", "rep_b").distinct()
+        with_texts = pairs.join(reps.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a")), "rep_a").join(reps.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
+        return with_texts.select("rep_a", "rep_b", "text_a", "text_b").mapInArrow(_matcher(length, gram), "rep_a long, rep_b long, start_a int, start_b int, length int"), members
+    # Seeds at the same shift that start less than gram apart overlap, so they extend to the same run: one is kept.
     lone = met.groupBy("rep_a", "rep_b", (F.col("at_a") - F.col("at_b")).alias("shift"), F.floor(F.col("at_a") / gram).alias("zone")).agg(F.min("at_a").alias("at_a"))
     both = lone.groupBy("rep_a", "rep_b").agg(F.collect_list(F.struct("at_a", (F.col("at_a") - F.col("shift")).alias("at_b"))).alias("places"))
     with_texts = both.join(reps.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a")), "rep_a").join(reps.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")

@@ -184,6 +184,49 @@ def test_shared_spans(spark, length, gram):
     assert empty.count() == 0 and spans.shared_shares(empty, none).count() == 0
 
 
+def brute_matches(a, b, length):
+    """All maximal common runs of at least `length` characters."""
+    out = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                    k += 1
+                if k >= length:
+                    out.add((i, j, k))
+    return out
+
+
+@pytest.mark.parametrize(("length", "gram"), [(12, 9), (20, 5), (8, 8)])
+def test_repeated_passages_are_spans_and_shares_in_full(spark, length, gram):
+    rng = random.Random(length)
+    passage, other = ("".join(rng.choices("abcdefgh", k=n)) for n in (30, 24))
+    noise = lambda: "".join(rng.choices("xyzw", k=rng.randrange(1, 9)))
+    texts = {
+        0: passage * 20,
+        1: "x" + passage + "y",
+        2: other * 6 + noise(),
+        3: noise() + other * 2 + noise() + other,
+        4: "".join(passage + noise() for _ in range(7)),
+        5: "a" * 90,
+        6: "b" + "a" * 50 + "c",
+        7: "ab" * 40,
+        8: "ab" * 20 + "c" + "ab" * 15,
+        9: "nothing of all this is in another text",
+    }
+    df = spark.createDataFrame([*texts.items(), (50, texts[4])], "doc_id long, text string")
+    found, members = spans.shared_spans(df, length, gram)
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == {(i, j, *m) for i, j in combinations(texts, 2) for m in brute_matches(texts[i], texts[j], length)}
+    shares = {r.doc_id: r.n_shared for r in spans.shared_shares(found, members).collect()}
+    for i, t in texts.items():
+        inside = {k + x for k in range(len(t) - length + 1) if any(t[k : k + length] in u for j, u in texts.items() if j != i) for x in range(length)}
+        assert shares[i] == (len(t) if i == 4 else len(inside))
+    assert shares[0] == len(texts[0])
+
+
 TARGETS = "source string, target_share double, max_repeats int"
 
 
