@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvidex.frames import bounded, cut, positions
 
 SUB_BLOCKS = 1_024
+ROWS_A_ROUND = 10_000  # rows of a source the driver gets at once
 MOST_SOURCES = 10_000
 MOST_DRAWS = 1_000_000
 
@@ -45,8 +46,8 @@ def mix_sources(sized: DataFrame, targets: DataFrame, shards: int = 16, blocks:
     No row is used more than max_repeats times; a source too small for that gives all it has, and its row of the
     report is marked short. Rows are hashed into blocks, about `blocks` of them over all sources, whose sums are
     all that the driver sees. A source is passed over as often as its quota holds it whole, then blocks are drawn
-    in random order until the next would exceed the quota; that one is split once more into SUB_BLOCKS. Drawn
-    blocks are dealt to the shards by split_tree, and each shard is shuffled on its own.
+    in random order, without those that exceed what is open. These are split into SUB_BLOCKS and at last into rows,
+    until what is open is less than the least row that is left. Drawn blocks are dealt to the shards by split_tree, and each shard is shuffled on its own.
 
     Rows of other or null sources are left out, those without tokens are drawn like others. Of targets, rows with
     a null source, share or repeats are left out; a repeated source is an error. A source without rows has 0 tokens.
@@ -76,40 +77,70 @@ def mix_sources(sized: DataFrame, targets: DataFrame, shards: int = 16, blocks:
         block_sums[r["s"]][r["block"]] = r["tokens"]
 
     draws: list[list[tuple[int, int]]] = []  # of each source, (block, repeat) in drawn order
-    edge: dict[int, tuple[int, int, int]] = {}  # source: block to split, its repeat, tokens still open
-    drawn = np.zeros(len(names), np.int64)
+    full = [int(amount[s] // tokens[s]) if tokens[s] else 0 for s in range(len(names))]
+    left = [int(amount[s]) - full[s] * int(tokens[s]) for s in range(len(names))]
+    over: dict[int, list[int]] = {}  # of each source, the blocks that did not fit, in random order
     for s in range(len(names)):
-        full = int(amount[s] // tokens[s]) if tokens[s] else 0
-        mine = [(b, p) for p in range(full) for b in rng.permutation(sorted(block_sums[s])).tolist()]
-        drawn[s] = full * tokens[s]
-        left = int(amount[s] - drawn[s])
-        if left > 0:
+        mine = [(b, p) for p in range(full[s]) for b in rng.permutation(sorted(block_sums[s])).tolist()]
+        if left[s] > 0:
             for b in rng.permutation(sorted(block_sums[s])).tolist():
-                if block_sums[s][b] > left:
-                    edge[s] = (b, full, left)
-                    break
-                mine.append((b, full))
-                left -= block_sums[s][b]
-                drawn[s] += block_sums[s][b]
+                if block_sums[s][b] > left[s]:
+                    over.setdefault(s, []).append(b)
+                else:
+                    mine.append((b, full[s]))
+                    left[s] -= block_sums[s][b]
         draws.append(mine)
+
+    # What is open then comes from sub-blocks of those blocks, twice as many blocks each time, and at last from rows.
+    parts: dict[tuple[int, int], list[int]] = {}  # (source, block): its sub-blocks that are drawn
+    tried, size, active = {s: 0 for s in over}, 1, {s for s in over if left[s] > 0}
+    while active:
+        at = [(s, b) for s in sorted(active) for b in over[s][tried[s] : tried[s] + size]]
+        subs: dict[int, dict[tuple[int, int], int]] = {}
+        sums_of = spread.join(F.broadcast(spark.createDataFrame(at, "s int, block int")), ["s", "block"]).groupBy("s", "block", "sub").agg(F.sum("n_tokens").alias("tokens"))
+        most_open = F.broadcast(spark.createDataFrame([(s, left[s]) for s in sorted(active)], "s int, open long"))
+        for r in sums_of.join(most_open, "s").where("tokens <= open").collect():
+            subs.setdefault(r["s"], {})[r["block"], r["sub"]] = r["tokens"]
+        for s in sorted(active):
+            used = False
+            fits = sorted(subs.get(s, {}))
+            for i in rng.permutation(len(fits)).tolist():
+                if subs[s][fits[i]] <= left[s]:
+                    block, sub = fits[i]
+                    parts.setdefault((s, block), []).append(sub)
+                    left[s] -= subs[s][fits[i]]
+                    used = True
+            tried[s] += size
+            if left[s] <= 0 or not used or tried[s] >= len(over[s]):
+                active.discard(s)
+        size *= 2
+
+    single: dict[tuple[int, int], list] = {}  # (source, block): its rows that are drawn by themselves
+    key = spread.schema["doc_id"].dataType.simpleString()
+    active = {s for s in over if left[s] > 0}
+    chosen = spread.select("s", "block", "sub", "doc_id", "n_tokens").where("n_tokens > 0 and doc_id is not null") if active else None
+    while active:
+        free = [(s, b, left[s], parts.get((s, b), []), single.get((s, b), [])) for s in sorted(active) for b in over[s]]
+        opened = F.broadcast(spark.createDataFrame(free, f"s int, block int, open long, subs array<int>, docs array<{key}>"))
+        rest = chosen.join(opened, ["s", "block"]).where("not array_contains(subs, sub) and not array_contains(docs, doc_id)")
+        rest = rest.groupBy("s", "block", "doc_id", "open").agg(F.sum("n_tokens").alias("tokens")).where("tokens <= open")
+        first = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id")
+        some: dict[int, list] = {}
+        for r in rest.withColumn("place", F.row_number().over(first)).where(F.col("place") <= ROWS_A_ROUND).orderBy("s", "place").collect():
+            some.setdefault(r["s"], []).append(r)
+        for s in sorted(active):
+            for r in some.get(s, []):
+                if r["tokens"] <= left[s]:
+                    single.setdefault((s, r["block"]), []).append(r["doc_id"])
+                    left[s] -= r["tokens"]
+            if left[s] <= 0 or len(some.get(s, [])) == 0:
+                active.discard(s)
+    for s, block in sorted(parts.keys() | single.keys()):
+        draws[s].append((block, full[s]))
+    drawn = np.array([int(amount[s]) - left[s] for s in range(len(names))], np.int64)
     if sum(map(len, draws)) > MOST_DRAWS:
         raise ValueError("too many draws: max_repeats is too high for this number of blocks")
 
-    parts: dict[int, list[int]] = {}
-    if edge:
-        at = spark.createDataFrame([(s, b) for s, (b, _, _) in edge.items()], "s int, block int")
-        subs: dict[int, dict[int, int]] = {}
-        for r in spread.join(F.broadcast(at), ["s", "block"]).groupBy("s", "sub").agg(F.sum("n_tokens").alias("tokens")).collect():
-            subs.setdefault(r["s"], {})[r["sub"]] = r["tokens"]
-        for s, (_, _, left) in edge.items():
-            parts[s] = []
-            for sub in rng.permutation(sorted(subs[s])).tolist():
-                if subs[s][sub] <= left:
-                    parts[s].append(sub)
-                    left -= subs[s][sub]
-                    drawn[s] += subs[s][sub]
-            draws[s].append((edge[s][0], edge[s][1]))
-
     quotas = np.array([len(d) for d in draws], np.int64)
     tree = split_tree(quotas, shards, rng) if len(names) else np.zeros((shards, 0), int)
     dealt = []
@@ -117,10 +148,10 @@ def mix_sources(sized: DataFrame, targets: DataFrame, shards: int = 16, blocks:
         order, shard_of = rng.permutation(len(mine)), np.repeat(np.arange(shards), tree[:, s])
         for i, shard in zip(order.tolist(), shard_of.tolist(), strict=True):
             block, repeat = mine[i]
-            split = s in edge and (block, repeat) == edge[s][:2]
-            dealt.append((s, block, repeat, shard, parts[s] if split else None))
-    deal = F.broadcast(spark.createDataFrame(dealt, "s int, block int, repeat int, shard int, subs array<int>"))
-    mixed = spread.join(deal, ["s", "block"]).where("subs is null or array_contains(subs, sub)").select("doc_id", "source", "repeat", "shard")
+            split = repeat == full[s] and ((s, block) in parts or (s, block) in single)
+            dealt.append((s, block, repeat, shard, parts.get((s, block), []) if split else None, single.get((s, block), []) if split else None))
+    deal = F.broadcast(spark.createDataFrame(dealt, f"s int, block int, repeat int, shard int, subs array<int>, docs array<{key}>"))
+    mixed = spread.join(deal, ["s", "block"]).where("subs is null or array_contains(subs, sub) or array_contains(docs, doc_id)").select("doc_id", "source", "repeat", "shard")
     whole = int(drawn.sum())
     report = [
         (r["source"], float(r["target_share"]), int(r["max_repeats"]), int(n_rows[s]), int(tokens[s]), float(want[s]), int(drawn[s]), float(drawn[s]) / whole if whole else 0.0, bool(short[s]))

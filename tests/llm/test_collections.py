@@ -263,6 +263,18 @@ def test_mix(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_sources(df.repartition(3), targets, shards=5, blocks=200).rows.collect()))
 
 
+def test_a_text_larger_than_the_quota_does_not_end_the_draw(spark):
+    rows = [(i, "a", 100) for i in range(2000)] + [(5000, "a", 300_000), (6000, "b", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 150_050 / 500_010, 1)], TARGETS)
+    targets = targets.union(spark.createDataFrame([("b", 0.1, 1)], TARGETS))
+    for seed in (1, 2, 3):
+        mix = mixing.mix_sources(df, targets, shards=2, blocks=16, seed=seed)
+        got, report = mix.rows.where("source = 'a'").collect(), {r.source: r for r in mix.report.collect()}
+        assert len({r.doc_id for r in got}) == len(got) == 1500
+        assert report["a"].drawn_tokens == 150_000 and not report["a"].short
+
+
 def test_mix_edges(spark):
     df = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 1.0, 2)], TARGETS)
