@@ -60,6 +60,13 @@ def _p10_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.document_pairs(found.select("rep_a", "rep_b").distinct(), members)
 
 
+def _members(found: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, rep, links): whose copy each record is, itself included, and how many links or spans that one has."""
+    ends = found.select(F.col("rep_a").alias("rep")).unionByName(found.select(F.col("rep_b").alias("rep")))
+    links = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return members.select("doc_id", "rep").join(links, "rep", "left").select("doc_id", "rep", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: mojibake.wrongly_decoded(_pages(s, d)).select("doc_id"),
     "p1_restored": lambda s, d: mojibake.wrongly_decoded(_pages(s, d)),
@@ -71,12 +78,14 @@ QUERIES: dict[str, Query] = {
     "p5_quality": _quality,
     "p6_found": lambda s, d: neardup.document_pairs(*_near(s, d)),
     "p6_links": lambda s, d: _near(s, d)[0].select("rep_a", "rep_b", "shared", F.round("similarity", 6).alias("similarity")),
+    "p6_members": lambda s, d: _members(*_near(s, d)),
     "p8_ids": lambda s, d: bpe.encode_texts(table(s, d, "documents")),
     "p9_found": lambda s, d: _mix(s, d).report.where("short").select("source"),
     "p9_mix": lambda s, d: _mix(s, d).rows,
     "p9_shares": lambda s, d: _mix(s, d).report,
     "p10_found": _p10_found,
     "p10_spans": lambda s, d: _spans(s, d)[0],
+    "p10_members": lambda s, d: _members(*_spans(s, d)),
     "p10_shares": lambda s, d: spans.shared_shares(*_spans(s, d)),
 }
 
