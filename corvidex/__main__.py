@@ -29,10 +29,10 @@ def asked() -> Iterator[tuple[str, str]]:
             words = input("Words: ")
         except EOFError:
             return
-        if search.terms_of(words):
+        if (why := search.rejected(words)) is None:
             yield mode, words
         else:
-            print("There is no term in that.")
+            print(f"That cannot be searched for: {why}.")
 
 
 def main(args: list[str] | None = None) -> None:
@@ -50,11 +50,12 @@ def main(args: list[str] | None = None) -> None:
     spark = session()
     if chosen.command == "index":
         index.write_index(documents.page_table(documents.read_tsv(spark, chosen.tsv)), chosen.path)
+        if rejects := documents.tsv_rejects(spark, chosen.tsv).groupBy("reason").count().orderBy("reason").collect():
+            print("Lines left out: " + ", ".join(f"{r['count']} {r.reason}" for r in rejects))
         return
     opened = index.open_index(spark, chosen.path)
-    scores = search.byte_scores(opened.postings)
     for mode, words in [(chosen.mode, " ".join(chosen.words))] if chosen.words else asked():
-        for hit in search.with_content(search.search(scores, words, mode, chosen.k), opened.pages).orderBy("rank").collect():
+        for hit in search.with_content(search.search_index(opened, words, mode, chosen.k), opened.pages).orderBy("rank").collect():
             print(f"{hit.doc_id}\t{hit.score:.6f}\t{hit.content}")
 
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,28 +35,83 @@ def current_rows(pages: DataFrame, *columns: str, key: str = "doc_id", order: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors share, from the session; only where it sets none (tests on one machine) a temporary one."""
+    """The folder that all executors share, from spark.checkpoint.dir. Only a local master gets one of its own where none is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            folder = tempfile.mkdtemp()
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+_left: list[tuple[SparkSession, str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What operators cut inside is removed at the end, so results have to be written or collected inside, too."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    _left.append((spark, path))
+
+
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and go on from there: lineage ends, sizes are known, nothing runs twice."""
+    """Write df as a table in the shared folder and go on from there: lineage ends, sizes are known, nothing runs twice.
+
+    The table is removed at the end of the enclosing `scratch`, else when the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
+    paths = _scope.get()
+    if paths is None:
+        keep_until_exit(spark, path)
+    else:
+        paths.append(path)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is gone: its folder is the cluster's to clear
-        pass
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _remove_left() -> None:
+    for spark, path in _left:
+        try:
+            remove(spark, path)
+        except Exception:  # the session is gone: its folder is the cluster's to clear
+            return
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is a plain scan of fewer partitions than these; else as it is.
+
+    For work that is heavy by row: one large row group would keep it in one task.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Adaptive" in plan.getClass().getSimpleName() or plan.execute().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def bounded(df: DataFrame, most: int, what: str) -> list:
@@ -71,8 +130,8 @@ def broadcast_if_small(df: DataFrame, most_mb: int = 8) -> DataFrame:
     return F.broadcast(df) if size <= most_mb * 1_000_000 else df
 
 
-def join_unique(facts: DataFrame, dim: DataFrame, key: str, weight: str, share: float = 1 / 500) -> DataFrame:
-    """Inner join of facts with a dim that is unique by key, without one task per hot key.
+def join_unique(facts: DataFrame, dim: DataFrame, key: str, weight: str, share: float = 1 / 500, how: str = "inner") -> DataFrame:
+    """Inner or left join of facts with a dim that is unique by key, without one task per hot key.
 
     weight is a column of dim: the number of facts of the key. Keys with at least `share` of all facts
     are at most 1/share many, so those rows of dim are broadcast; the rest is a shuffled join in which no
@@ -83,12 +142,37 @@ def join_unique(facts: DataFrame, dim: DataFrame, key: str, weight: str, share:
     least = max(1.0, total * share)
     hot = [r[0] for r in bounded(dim.where(F.col(weight) >= least).select(key), int(1 / share), "hot keys")] if total > 100_000 else []
     if not hot:
-        return facts.join(dim, key)
-    return (
-        facts.where(F.col(key).isin(hot))
-        .join(F.broadcast(dim.where(F.col(key).isin(hot))), key)
-        .unionByName(facts.where(~F.col(key).isin(hot)).join(dim.where(~F.col(key).isin(hot)), key))
-    )
+        return facts.join(dim, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return facts.where(is_hot).join(F.broadcast(dim.where(is_hot)), key).unionByName(facts.where(~is_hot).join(dim.where(~is_hot), key, how))
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, salt_by: str, most: int = 200_000) -> DataFrame:
+    """Inner join by key of sides that both repeat keys. counts has (key, n_left, n_right) for the keys of interest.
+
+    A key whose joined rows exceed `most` is split: its rows of left by a hash of their column salt_by, its rows of
+    right repeated for each part, so that no task joins more than about `most` rows of a key.
+    """
+    parts = F.ceil(F.col("n_left") * F.col("n_right") / most).cast("int")
+    hot = broadcast_if_small(counts.select(key, F.least(F.col("n_left"), parts).cast("int").alias("_parts")).where("_parts > 1"))
+    salt = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(salt_by), F.col("_parts").cast("long")).cast("int"))
+    every = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    salted = left.join(hot, key, "left").withColumn("_salt", salt).drop("_parts")
+    return salted.join(right.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_parts"), [key, "_salt"]).drop("_salt")
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with the number of each row by order (unique), from 1; the driver gets one number a partition."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The id is made of the partition and, in its lower 33 bits, the place in the sorted partition.
+    ranged = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    starts, total = [], 1
+    for at, count in sorted(ranged.groupBy(part).count().collect()):
+        starts.append((at, total))
+        total += count
+    start = df.sparkSession.createDataFrame(starts, "_part long, _start long")
+    return ranged.withColumn("_part", part).join(F.broadcast(start), "_part").withColumn(name, F.col("_start") + place).drop("_part", "_start", "_id")
 
 
 def positions(df: DataFrame, key: str, order: str) -> DataFrame:

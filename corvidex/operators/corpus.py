@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvidex.frames import spread
 from corvidex.functions.text import tokens
 
 
@@ -21,12 +22,22 @@ def doc_lengths(docs: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """(term, doc_id, tf, doc_len), for all terms or those given.
 
-    The length comes with the tokens of the same row, so that postings need no join with lengths later.
+    All tokens of a document are in its row, so they are sorted and counted there: no shuffle. The length comes
+    with them, so that postings need no join with lengths later. Documents have one row each (see page_table).
     """
-    split = docs.select("doc_id", tokens(F.col("content")).alias("tokens")).select("doc_id", F.size("tokens").cast("long").alias("doc_len"), F.explode("tokens").alias("term"))
+    split = spread(docs.select("doc_id", "content")).select("doc_id", F.sort_array(tokens(F.col("content"))).alias("tokens"))
+    # The empty list gets one token too many here, which no document has.
+    size = F.size("tokens")
+    first = F.filter(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), lambda i: F.coalesce((i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)), F.lit(False)))
+    runs = split.select("doc_id", "tokens", size.cast("long").alias("doc_len"), first.alias("first"))
+
+    def run(start: Column, k: Column) -> Column:
+        return F.struct(F.get("tokens", start).alias("term"), (F.coalesce(F.get("first", k + 1), size) - start).cast("long").alias("tf"))
+
+    found = runs.select("doc_id", "doc_len", F.inline(F.transform("first", run))).where("term is not null")
     if terms is not None:
-        split = split.where(F.col("term").isin(terms))
-    return split.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
+        found = found.where(F.col("term").isin(terms))
+    return found.select("term", "doc_id", "tf", "doc_len")
 
 
 def term_df(found: DataFrame) -> DataFrame:
@@ -36,7 +47,7 @@ def term_df(found: DataFrame) -> DataFrame:
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row: n_docs, total_len, avg_doc_len (truncated). Documents without tokens count; of no documents all are 0."""
-    sums = doc_lengths(docs).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
+    sums = doc_lengths(spread(docs)).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
     return sums.select("n_docs", "total_len", F.expr("coalesce(try_divide(total_len - total_len % n_docs, n_docs), 0)").cast("long").alias("avg_doc_len"))
 
 
@@ -45,7 +56,7 @@ def segment_postings(docs: DataFrame, segments: int = 8) -> DataFrame:
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // segments))
     segment = F.floor((F.col("doc_id") - F.lit(low or 0)) / width).cast("long")
-    return tokenize(docs).groupBy(segment.alias("segment"), "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    return postings(docs).select(segment.alias("segment"), "term", "doc_id", "tf")
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:

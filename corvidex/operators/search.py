@@ -1,15 +1,18 @@
-"""Top-k search over scored postings (term, doc_id, q)."""
+"""Top-k search over scored postings (term, doc_id, score), or over a written index."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvidex.frames import broadcast_if_small, cut
+from corvidex.frames import broadcast_if_small, cut, join_salted, join_unique
 from corvidex.functions.scoring import dequantize
 from corvidex.functions.text import query_terms, terms_of
+from corvidex.operators.index import Index
 
 K = 20
+LEAD = 50  # documents, for each of the k, whose scores set the first bar of a batch query
+EXACT = 1e-6  # scores are compared to 6 decimals
 
 
 def _mode(mode: str) -> str:
@@ -18,26 +21,55 @@ def _mode(mode: str) -> str:
     return mode
 
 
+def rejected(query: str | None) -> str | None:
+    """Why a query gives no rows whatever the index: `empty` or `no terms`; null for a query with terms."""
+    if query is None or not query.strip():
+        return "empty"
+    return None if terms_of(query) else "no terms"
+
+
+def _matches(scores: DataFrame, query: str, mode: str) -> DataFrame:
+    terms = terms_of(query)
+    found = scores.where(F.col("term").isin(terms)).groupBy("doc_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    return found.where(F.col("n") == len(terms)) if _mode(mode) == "and" else found
+
+
 def search(scores: DataFrame, query: str, mode: str = "or", k: int = K) -> DataFrame:
     """(rank, doc_id, score): the k best documents with all (`and`) or any (`or`) of the query's distinct terms.
 
     scores are (term, doc_id, score). The score of a document is the sum over its matching terms; terms that
     count 0 still match. Ordered by the score to 6 decimals, then by doc_id. A term that no document has leaves
-    nothing of an `and` query and is ignored by an `or` query; a query without terms gives no rows.
+    nothing of an `and` query and is ignored by an `or` query; a query that is `rejected` gives no rows.
     """
-    terms = terms_of(query)
-    found = scores.where(F.col("term").isin(terms)).groupBy("doc_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
-    if _mode(mode) == "and":
-        found = found.where(F.col("n") == len(terms))
-    best = found.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+    best = _matches(scores, query, mode).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
     return best.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "score")
 
 
+def known_scores(index: Index, query: str, mode: str = "or") -> DataFrame:
+    """(term, doc_id, score) of a written index to search for the query: none if an `and` query has a term that the lexicon has not."""
+    terms = terms_of(query)
+    if _mode(mode) == "and" and index.lexicon.where(F.col("term").isin(terms)).count() < len(terms):
+        return byte_scores(index.postings.where("false"))
+    return byte_scores(index.postings)
+
+
+def search_index(index: Index, query: str, mode: str = "or", k: int = K) -> DataFrame:
+    """search over a written index; the lexicon is asked first."""
+    return search(known_scores(index, query, mode), query, mode, k)
+
+
+def count_matches(index: Index, query: str) -> DataFrame:
+    """(mode, n_docs): how many documents match the query by each mode, with scores of 0, too."""
+    n = F.count(F.lit(1)).alias("n_docs")
+    both = [_matches(known_scores(index, query, mode), query, mode).agg(n).select(F.lit(mode).alias("mode"), "n_docs") for mode in ("and", "or")]
+    return both[0].unionByName(both[1])
+
+
 def with_content(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """Hits of search with the text of each, null where the page is gone. There are at most k hits."""
-    hits = cut(hits)
-    ids = [r[0] for r in hits.select("doc_id").collect()]
-    return hits.join(F.broadcast(pages.where(F.col("doc_id").isin(ids)).select("doc_id", "content")), "doc_id", "left").select("rank", "doc_id", "score", "content")
+    rows = hits.collect()
+    found = pages.where(F.col("doc_id").isin([r["doc_id"] for r in rows])).select("doc_id", "content")
+    return hits.sparkSession.createDataFrame(rows, hits.schema).join(F.broadcast(found), "doc_id", "left").select("rank", "doc_id", "score", "content")
 
 
 def batch_terms(queries: DataFrame) -> DataFrame:
@@ -46,18 +78,56 @@ def batch_terms(queries: DataFrame) -> DataFrame:
     return split.select("item", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
 
 
-def search_batch(scores: DataFrame, queries: DataFrame, mode: str = "or", k: int = K) -> DataFrame:
-    """(item, rank, doc_id, score): search for each query (item, text) in one plan.
+def search_batch(index: Index, queries: DataFrame, mode: str = "or", k: int = K) -> DataFrame:
+    """(item, rank, doc_id, score): search_index for each query (item, text; items are unique) in one plan.
 
-    The queries' terms are broadcast if measured small, else joined by term; scores add up in the map tasks
-    first, and each keeps its k best of an item before the last shuffle.
+    Lists are not joined whole with every query that has their term. An `and` query starts from the documents of
+    its rarest term. An `or` query takes its terms by their greatest score; those that reach LEAD * k documents
+    give a k-th score that the result can't fall below. A document that has only terms whose greatest scores add
+    up to less is out, so the lists of these are met by (term, doc_id) with documents found by the others, and of
+    those only with the ones that may still get over the bar. Terms with many documents and queries are split.
     """
-    wanted = broadcast_if_small(batch_terms(queries))
-    found = scores.join(wanted, "term").groupBy("item", "doc_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"))
+    batch = batch_terms(queries)
+    counts = batch.groupBy("term").agg(F.count(F.lit(1)).alias("n_right"))
+    known = index.lexicon.join(counts, "term").select("term", "n_right", F.col("df").alias("n_left"), dequantize(F.col("max_q")).alias("most"))
+    wanted = join_unique(batch, known, "term", "n_right")
     if _mode(mode) == "and":
-        found = found.where("n = n_terms")
-    order = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
-    return found.select("item", "doc_id", F.round("score", 6).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item", "rank", "doc_id", "score")
+        item = Window.partitionBy("item")
+        wanted = wanted.withColumn("known", F.count(F.lit(1)).over(item)).where("known = n_terms")
+        wanted = cut(wanted.withColumn("first", F.row_number().over(item.orderBy("n_left", "term")) == 1))
+    else:
+        order = Window.partitionBy("item").orderBy(F.desc("most"), "n_left", "term")
+        rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+        wanted = cut(wanted.select("*", F.sum("most").over(rest).alias("rest"), F.coalesce(F.sum("n_left").over(ahead), F.lit(0)).alias("ahead")))
+    scores = byte_scores(index.postings)
+
+    def matches(terms: DataFrame) -> DataFrame:
+        """(item, doc_id, score, n) over these rows of wanted."""
+        sizes = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_right"), F.max("n_left").alias("n_left"))
+        met = join_salted(scores, terms.select("item", "term"), "term", sizes, "doc_id")
+        return met.groupBy("item", "doc_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
+
+    best = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
+    if mode == "and":
+        others, found = wanted.where("not first"), matches(wanted.where("first"))
+    else:
+        lead = matches(wanted.where(F.col("ahead") < LEAD * k))
+        bar = lead.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("item", F.col("score").alias("bar"))
+        wanted = wanted.join(broadcast_if_small(bar), "item", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)) - EXACT)
+        wanted = cut(wanted)
+        others, found = wanted.where("rest < bar"), matches(wanted.where("rest >= bar"))
+        open_ = wanted.groupBy("item").agg(F.max("bar").alias("bar"), F.coalesce(F.max(F.when(F.col("rest") < F.col("bar"), F.col("rest"))), F.lit(0.0)).alias("rest"))
+        found = found.join(broadcast_if_small(open_), "item").where("score + rest >= bar").drop("bar", "rest")
+    found = cut(found)
+    pairs = found.select("item", "doc_id").join(broadcast_if_small(others.select("item", "term")), "item")
+    lists = scores.join(broadcast_if_small(others.select("term").distinct()), "term")
+    more = pairs.join(lists, ["term", "doc_id"]).select("item", "doc_id", "score", F.lit(1).cast("long").alias("n"))
+    total = found.unionByName(more).groupBy("item", "doc_id").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
+    if mode == "and":
+        total = total.join(broadcast_if_small(wanted.where("first").select("item", "n_terms")), "item").where("n = n_terms")
+    rounded = total.select("item", "doc_id", F.round("score", 6).alias("score"))
+    return rounded.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item", "rank", "doc_id", "score")
 
 
 def next_geq(postings: DataFrame, terms: list[str], targets: list[int]) -> DataFrame:
@@ -68,9 +138,10 @@ def next_geq(postings: DataFrame, terms: list[str], targets: list[int]) -> DataF
 
 
 def lookup_terms(lexicon: DataFrame, terms: list[str]) -> DataFrame:
-    """Rows of the lexicon for each term, with nulls for one that it hasn't."""
+    """(term, df, start_chunk, end_chunk) of the lexicon for each term, with nulls for one that it hasn't."""
     wanted = lexicon.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    return wanted.join(F.broadcast(lexicon.where(F.col("term").isin(terms))), "term", "left")
+    found = lexicon.where(F.col("term").isin(terms)).select("term", "df", "start_chunk", "end_chunk")
+    return wanted.join(F.broadcast(found), "term", "left")
 
 
 def byte_scores(index: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """The queries of the search engine, by name, and SQL that gives the same rows.
 
 The corpus is the table `documents`; batch queries are the words of each language, pairs of these, and every
-document whose id is divisible by 50.
+document whose id is divisible by 50. Searches read an index that the first of them writes to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvidex.frames import item_postings, table
+from corvidex.frames import cut, item_postings, keep_until_exit, new_path, table
 from corvidex.functions.codec import vbyte_hex, vbyte_value
 from corvidex.operators import corpus, index, search
 from corvidex.sources import documents as sources
@@ -34,15 +34,39 @@ def _impacts(spark: SparkSession, d: str, **how: bool) -> DataFrame:
     return index.impacts(docs(spark, d), **how)
 
 
-def _search(query: str, mode: str) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return search.search(search.byte_scores(index.impacts(docs(spark, d), search.terms_of(query))), query, mode)
+_written: dict[tuple, index.Index] = {}
+
 
-    return run
+def opened(spark: SparkSession, d: str) -> index.Index:
+    """The index of the table `documents` in d, written once in a session and for each set of files."""
+    key = (spark.sparkContext.applicationId, tuple(sorted(table(spark, d, "documents").inputFiles())))
+    if key not in _written:
+        path = new_path(spark)
+        keep_until_exit(spark, path)
+        index.write_index(docs(spark, d), path)
+        _written[key] = index.open_index(spark, path)
+    return _written[key]
+
+
+def _search(query: str, mode: str) -> Query:
+    return lambda s, d: search.search_index(opened(s, d), query, mode)
 
 
 def _search_with_content(spark: SparkSession, d: str) -> DataFrame:
-    return search.with_content(_search(Q, "or")(spark, d), docs(spark, d))
+    return search.with_content(_search(Q, "or")(spark, d), opened(spark, d).pages)
+
+
+def _list_places(spark: SparkSession, d: str) -> DataFrame:
+    lexicon = opened(spark, d).lexicon
+    return index.list_places(lexicon, index.file_starts(lexicon.withColumnRenamed("end_chunk", "chunk_no")), [*search.terms_of(Q), ABSENT])
+
+
+def _scan_tsv(spark: SparkSession, d: str) -> DataFrame:
+    """The raw lines as a text file, read back."""
+    path = new_path(spark)
+    keep_until_exit(spark, path)
+    table(spark, d, "collection_lines").where("raw_line is not null").select("raw_line").write.text(path, lineSep="\n")
+    return sources.parsed_tsv(sources.read_lines(spark, path)).select("doc_id", "content", "reason", "line")
 
 
 def _language_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +86,7 @@ def _document_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _batch(of: Query, mode: str) -> Query:
-    return lambda s, d: search.search_batch(search.byte_scores(_impacts(s, d)), of(s, d), mode)
+    return lambda s, d: search.search_batch(opened(s, d), of(s, d), mode)
 
 
 def _sticky_search(spark: SparkSession, d: str) -> DataFrame:
@@ -70,8 +94,16 @@ def _sticky_search(spark: SparkSession, d: str) -> DataFrame:
     return search.search(index.decoded(index.impacts(docs(spark, d), terms, shifted=True), sticky_zero=True), Q)
 
 
+def _arranged(spark: SparkSession, d: str) -> DataFrame:
+    return index.arranged(cut(corpus.postings(docs(spark, d))))
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return index.chunk_directory(_arranged(spark, d))
+
+
 def _gaps(spark: SparkSession, d: str) -> DataFrame:
-    return index.placed(_impacts(spark, d)).select("term", "doc_id", "chunk_in_term", "gap", "vbyte_len")
+    return index.placed(_arranged(spark, d)).select("term", "doc_id", "chunk_in_term", "gap", "vbyte_len")
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
@@ -84,6 +116,7 @@ def _rounded(name: str, score: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "scan_documents": docs,
+    "scan_tsv": _scan_tsv,
     "page_table": lambda s, d: sources.page_table(table(s, d, "page_table")),
     "doc_lookup": lambda s, d: sources.lookup(docs(s, d), IDS),
     "tokenize": lambda s, d: corpus.tokenize(docs(s, d)),
@@ -103,19 +136,21 @@ QUERIES: dict[str, Query] = {
     "search_batch_or": _batch(_language_queries, "or"),
     "search_batch_and": _batch(_pair_queries, "and"),
     "search_documents": _batch(_document_queries, "or"),
-    "lexicon_lookup": lambda s, d: search.lookup_terms(index.lexicon(_impacts(s, d)), [*search.terms_of(Q), ABSENT]),
-    "next_geq": lambda s, d: search.next_geq(corpus.postings(docs(s, d), search.terms_of(Q)), search.terms_of(Q), TARGETS),
-    "lexicon_chunks": lambda s, d: index.lexicon(_impacts(s, d)).select("term", "start_chunk", "end_chunk"),
-    "chunk_directory": lambda s, d: index.chunk_directory(_impacts(s, d)),
-    "block_directory": lambda s, d: index.block_directory(index.chunk_directory(_impacts(s, d))),
+    "result_counts": lambda s, d: search.count_matches(opened(s, d), Q),
+    "lexicon_lookup": lambda s, d: search.lookup_terms(opened(s, d).lexicon, [*search.terms_of(Q), ABSENT]),
+    "list_places": _list_places,
+    "next_geq": lambda s, d: search.next_geq(opened(s, d).postings, search.terms_of(Q), TARGETS),
+    "lexicon_chunks": lambda s, d: index.lexicon(corpus.term_df(corpus.postings(docs(s, d)))).select("term", "start_chunk", "end_chunk"),
+    "chunk_directory": _chunks,
+    "block_directory": lambda s, d: index.block_directory(cut(_chunks(s, d))),
     "docid_gaps": _gaps,
-    "docid_gaps_decoded": lambda s, d: index.undo_gaps(index.placed(_impacts(s, d))),
+    "docid_gaps_decoded": lambda s, d: index.undo_gaps(index.placed(_arranged(s, d))),
     "vbyte_encode": lambda s, d: _values(s, d).select("value", vbyte_hex(F.col("value")).alias("hex")),
     "vbyte_roundtrip": lambda s, d: _values(s, d).select("value", vbyte_value(vbyte_hex(F.col("value"))).alias("decoded")),
     "segment_runs": lambda s, d: corpus.segment_postings(docs(s, d)).groupBy("segment").agg(F.count_distinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_postings")),
     "merged_postings": lambda s, d: corpus.merge_runs(corpus.segment_postings(docs(s, d))),
     "merged_items": lambda s, d: corpus.merge_runs(item_postings(table(s, d, "parsed_items")).select(F.col("word").alias("term"), "doc_id", F.col("frequency").alias("tf"))),
-    "index_stats": lambda s, d: index.index_stats(_impacts(s, d)),
+    "index_stats": lambda s, d: index.index_stats(_arranged(s, d)),
     "bm25_impacts_shifted": lambda s, d: _impacts(s, d, shifted=True).select("term", "doc_id", "q"),
     "dequantized_sticky": _rounded("score", lambda x: index.decoded(x, sticky_zero=True)),
     "search_or_compat": _sticky_search,
@@ -175,6 +210,11 @@ _HEX = "list_aggregate(list_transform(range(vbyte_len), lambda i: printf('%02X',
 
 ORACLES: dict[str, str] = {
     "scan_documents": "select doc_id, text as content from documents where doc_id is not null",
+    "scan_tsv": r"""with l as (select unnest(string_split(raw_line, chr(10))) as raw from collection_lines where raw_line is not null),
+        c as (select case when raw like '%' || chr(13) then raw[:-2] else raw end as line from l), t as (select line, instr(line, chr(9)) as tab from c),
+        p as (select line, tab, case when tab > 0 and regexp_full_match(substr(line, 1, tab - 1), '-?[0-9]{1,18}') then cast(substr(line, 1, tab - 1) as bigint) end as doc_id from t)
+        select doc_id, case when doc_id is not null then substr(line, tab + 1) end as content,
+            case when tab = 0 then 'no tab' when doc_id is null then 'doc_id' end as reason, case when doc_id is null then line end as line from p""",
     "page_table": "select doc_id, content from (select * from page_table qualify row_number() over (partition by doc_id order by row_seq desc) = 1) where doc_id is not null and content is not null",
     "doc_lookup": f"select w.doc_id, text as content from (select unnest({IDS}::bigint[]) as doc_id) w left join documents d on w.doc_id = d.doc_id",
     "tokenize": _corpus() + "select doc_id, term from tok",
@@ -199,12 +239,16 @@ ORACLES: dict[str, str] = {
         "and",
     ),
     "search_documents": _batch_sql("select doc_id as item, content as text from docs where doc_id % 50 = 0", "or"),
+    "result_counts": _corpus() + f""", m as (select doc_id, count(*) as n from imp where term in {_list(Q)} group by doc_id)
+        select 'and' as mode, count(*) as n_docs from m where n = {len(search.terms_of(Q))} union all select 'or', count(*) from m""",
+    "list_places": _corpus() + f"""select term, cast(0 as bigint) as file_no, (start_chunk - 1) // 64 as first_block, (end_chunk - 1) // 64 as last_block
+        from chunks where term in {_list(Q)}""",
     "lexicon_lookup": _corpus() + f"select w.term, df, start_chunk, end_chunk from (select unnest({[*search.terms_of(Q), ABSENT]}) as term) w left join chunks using (term)",
     "next_geq": _corpus() + f"""select term, target, coalesce(min(doc_id) filter (where doc_id >= target), -1) as doc_id
         from post, (select unnest({TARGETS}::bigint[]) as target) where term in {_list(Q)} group by term, target""",
     "lexicon_chunks": _corpus() + "select term, start_chunk, end_chunk from chunks",
     "chunk_directory": _corpus() + "select * from dir",
-    "block_directory": _corpus() + "select (chunk_no - 1) // 64 as block_no, count(*) as n_chunks, cast(sum(n_bytes) as bigint) as payload_bytes from dir group by 1",
+    "block_directory": _corpus() + "select cast(0 as bigint) as file_no, (chunk_no - 1) // 64 as block_no, count(*) as n_chunks, cast(sum(n_bytes) as bigint) as payload_bytes from dir group by 2",
     "docid_gaps": _corpus() + "select term, doc_id, chunk_in_term, gap, cast(vbyte_len as bigint) as vbyte_len from sized",
     "docid_gaps_decoded": _corpus() + "select term, doc_id from post",
     "vbyte_encode": _corpus() + f"select distinct gap as value, {_HEX} as hex from sized",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvidex.frames import broadcast_if_small, cut
+from corvidex.frames import cut, join_unique
 
 MOST_DOC_ID = 2147483647
 
@@ -40,43 +40,47 @@ def structure(lines: DataFrame, line_no: str = "line_no", raw: str = "raw_line")
     return checked.select("line_no", "reason", F.when(good, F.col("doc_field")).alias("doc_field"), F.when(good, F.col("content")).alias("content"))
 
 
-def doc_id_of(field: Column) -> Column:
-    """The number of a field of ASCII digits up to MOST_DOC_ID, else null. Leading zeros are fine."""
+def doc_id_ok(field: Column) -> Column:
+    """Whether a field is a number of ASCII digits up to MOST_DOC_ID. Leading zeros are fine."""
     digits = F.regexp_replace(field, r"\A0+(?=.)", "")
     number = F.when(field.rlike(r"\A[0-9]+\z") & (F.length(digits) <= 10), digits).try_cast("long")
-    return F.when(number <= MOST_DOC_ID, number)
+    return F.coalesce(number <= MOST_DOC_ID, F.lit(False))
 
 
 def content_ok(field: Column) -> Column:
     return (F.btrim(field, F.lit(" \t\r")) != "") & (field != "\\N")
 
 
+def invalid_values(fields: DataFrame) -> DataFrame:
+    """(name, key, n): the values of doc_field and content that are invalid, by a 128-bit hash, and in how many lines each stands.
+
+    Values are reduced to distinct ones by column and hash, written, and cast or checked there, each once.
+    """
+    both = F.array(F.struct(F.lit("doc_id").alias("name"), F.col("doc_key").alias("key"), F.col("doc_field").alias("value")), F.struct(F.lit("content").alias("name"), F.col("content_key").alias("key"), F.col("content").alias("value")))
+    every = fields.where("reason is null").select(F.inline(both))
+    values = cut(every.groupBy("name", "key").agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("n")))
+    ok = F.when(F.col("name") == "doc_id", doc_id_ok(F.col("value"))).otherwise(content_ok(F.col("value")))
+    return cut(values.where(~ok).select("name", "key", "n"))
+
+
 def parse_lines(lines: DataFrame, line_no: str = "line_no", raw: str = "raw_line") -> DataFrame:
     """One row a line: (line_no, reason, doc_id, content); reason is null for good lines, else the rest is.
 
-    Each distinct value of a column is cast once. Invalid values form a dictionary (column, value) that is
-    joined back to the lines: broadcast if its measured size allows it, else shuffled on (value, salt) with
-    the line's own salt and each value once for every salt, as one value may stand in a third of all lines.
+    Each distinct value of a column is cast once. Invalid values form a dictionary with their reason, which is joined
+    back to the lines by hash: the few that stand in many lines are broadcast, as one may stand in a third of all,
+    the others joined by a shuffle. Valid numbers need no further check: joining all of them back, too, would
+    shuffle every line.
 
     A null line is `columns`. An empty table gives no rows. Repeated lines come out once each, by line_no.
     """
-    salts = 16
-    fields = structure(lines, line_no, raw)
-    values = (
-        fields.where("reason is null")
-        .select(F.explode(F.array(F.struct(F.lit("doc_id").alias("name"), F.col("doc_field").alias("value")), F.struct(F.lit("content").alias("name"), F.col("content").alias("value")))).alias("v"))
-        .select("v.name", "v.value")
-        .distinct()
-    )
-    bad = cut(values.where(
-        ((F.col("name") == "doc_id") & doc_id_of(F.col("value")).isNull()) | ((F.col("name") == "content") & ~content_ok(F.col("value")))
-    ))
-
-    def dictionary(name: str, field: str) -> DataFrame:
-        own = bad.where(F.col("name") == name).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        return broadcast_if_small(own.select(F.col("value").alias(field), "salt", F.lit(name).alias(f"bad_{field}")))
-
-    salted = fields.withColumn("salt", F.pmod(F.xxhash64("line_no"), F.lit(salts)).cast("int"))
-    joined = salted.join(dictionary("doc_id", "doc_field"), ["doc_field", "salt"], "left").join(dictionary("content", "content"), ["content", "salt"], "left")
-    reason = F.coalesce("reason", "bad_doc_field", "bad_content")
-    return joined.select("line_no", reason.alias("reason"), F.when(reason.isNull(), doc_id_of(F.col("doc_field"))).alias("doc_id"), F.when(reason.isNull(), F.col("content")).alias("content"))
+    fields = cut(structure(lines, line_no, raw).select("*", F.md5(F.encode("doc_field", "utf-8")).alias("doc_key"), F.md5(F.encode("content", "utf-8")).alias("content_key")))
+    bad = invalid_values(fields)
+
+    def looked_up(rows: DataFrame, name: str, key: str) -> DataFrame:
+        own = bad.where(F.col("name") == name).select(F.col("key").alias(key), F.lit(name).alias(f"bad_{name}"), F.col("n").alias(f"n_{name}"))
+        return join_unique(rows, own, key, f"n_{name}", how="left")
+
+    joined = looked_up(looked_up(fields, "doc_id", "doc_key"), "content", "content_key")
+    reason = F.coalesce("reason", "bad_doc_id", "bad_content")
+    number = F.regexp_replace("doc_field", r"\A0+(?=.)", "").try_cast("long")
+    return joined.select("line_no", reason.alias("reason"), F.when(reason.isNull(), number).alias("doc_id"), F.when(reason.isNull(), F.col("content")).alias("content"))

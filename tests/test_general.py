@@ -67,12 +67,66 @@ def test_no_lines_and_one_hot_bad_value(spark):
     assert parse_lines(df.limit(0)).count() == 0
 
 
-def test_dictionary_beyond_broadcast(spark, monkeypatch):
+def test_hot_invalid_values_and_others(spark):
+    line = F.when(F.col("id") % 4 == 0, "bad\tx").when(F.col("id") % 4 == 1, "\t ").when(F.col("id") % 4 == 2, F.concat(F.lit("bad"), F.col("id"), F.lit("\tx")))
+    df = spark.range(240_000).select(F.col("id").alias("line_no"), F.coalesce(line, F.concat("id", F.lit("\tok"))).alias("raw_line"))
+    df = df.unionByName(spark.range(9).select((F.col("id") - 9).alias("line_no"), F.lit(None).cast("string").alias("raw_line")))
+    got = parse_lines(df).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).collect()
+    assert {r.reason: (r.n, r.ids) for r in got} == {"doc_id": (180_000, 0), None: (60_000, 60_000), "columns": (9, 0)}
+
+
+def test_values_are_cast_after_they_are_made_distinct(spark, monkeypatch):
     from corvidex.sources import bad_rows
 
-    df = spark.createDataFrame([(i, f"bad{i % 50}\tx" if i % 3 else f"{i}\tok") for i in range(600)], "line_no long, raw_line string")
-    monkeypatch.setattr(bad_rows, "broadcast_if_small", lambda df: frames.broadcast_if_small(df, 0))
-    assert Counter(r.reason for r in parse_lines(df).collect()) == {"doc_id": 400, None: 200}
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return frames.cut(df)
+
+    monkeypatch.setattr(bad_rows, "cut", cut)
+    df = spark.createDataFrame([(1, "1\tx"), (2, "1\tx"), (3, "y\tx")], "line_no long, raw_line string")
+    assert {r.line_no: r.reason for r in parse_lines(df).collect()} == {1: None, 2: None, 3: "doc_id"}
+    _, distinct, invalid = plans
+    assert "Aggregate" in distinct and "try_cast" not in distinct.lower() and "try_cast" in invalid.lower() and "Aggregate" not in invalid
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    def fake(master, folder, known=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: known, setCheckpointDir=lambda x: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: folder))
+
+    for master in ("yarn", "spark://host:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            frames.shared_folder(fake(master, None))
+        frames.shared_folder(fake(master, "/shared"))
+    frames.shared_folder(fake("local[4]", None))
+
+
+def test_scratch_removes_what_was_cut(spark):
+    with frames.scratch(spark):
+        inside = frames.cut(spark.range(5))
+        assert inside.count() == 5
+    outside = frames.cut(spark.range(3))
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        inside.collect()
+    assert outside.count() == 3
+
+
+def test_join_salted(spark):
+    left = spark.createDataFrame([("hot" if i % 2 else f"k{i % 7}", i) for i in range(400)], "k string, x long")
+    right = spark.createDataFrame([("hot" if i % 3 else f"k{i % 9}", i) for i in range(90)], "k string, y long")
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n_left")).join(right.groupBy("k").agg(F.count(F.lit(1)).alias("n_right")), "k")
+    got = sorted(map(tuple, frames.join_salted(left, right, "k", counts, "x", most=50).select("k", "x", "y").collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").select("k", "x", "y").collect()))
+
+
+def test_numbered(spark):
+    got = frames.numbered(spark.range(3000).select((F.col("id") * 7919 % 3001).alias("v")), "n", "v").collect()
+    assert [r.n for r in sorted(got, key=lambda r: r.v)] == list(range(1, 3001))
+    assert frames.numbered(spark.range(0), "n", "id").count() == 0
 
 
 def test_eager_totals_equal_the_join(spark):
@@ -124,6 +178,13 @@ def test_valid_items(spark):
     assert frames.item_postings(df.limit(0)).count() == 0
 
 
+def test_left_join_unique_keeps_all(spark):
+    facts = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 3 > 0, F.col("id") % 5000).alias("k"), "id")
+    dim = facts.where("k < 100").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = frames.join_unique(facts, dim, "k", "n", how="left")
+    assert got.count() == 200_000 and got.where("n is not null").count() == facts.where("k < 100").count()
+
+
 def test_join_unique_with_hot_keys(spark):
     facts = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5000).alias("k"), "id")
     dim = facts.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
@@ -147,4 +208,5 @@ def test_stream(spark, tmp_path):
     pages = spark.read.parquet(out[0])
     assert {(r.doc_id, r.content) for r in pages.collect()} == {(1, "one"), (2, "two"), (3, "three")}
     assert pages.select("row_seq").distinct().count() == 3
+    assert [r.doc_id for r in pages.orderBy("row_seq").collect()] == [1, 2, 3]
     assert [r.reason for r in spark.read.parquet(out[1]).collect()] == ["columns"]

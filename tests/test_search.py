@@ -56,23 +56,60 @@ def test_corpus(spark):
 def test_page_table_and_tsv(spark, tmp_path):
     loads = spark.createDataFrame([(1, 7, "old", "x"), (2, 7, "new", "x"), (3, 8, None, "x"), (4, None, "lost", "x")], "row_seq long, doc_id long, content string, _rank string")
     assert [tuple(r) for r in documents.page_table(loads).collect()] == [(7, "new")]
-    (tmp_path / "c.tsv").write_text("1\ta\tb\nno tab\nx\ty\n1\tagain\n2\tlast, no line feed")
+    (tmp_path / "c.tsv").write_bytes(b"1\ta\tb\nno tab\nx\ty\n1\tag\rain\r\n2\tlast, no line feed")
     lines = documents.read_tsv(spark, str(tmp_path / "c.tsv"))
-    assert sorted((r.doc_id, r.content) for r in lines.collect()) == [(1, "a\tb"), (1, "again"), (2, "last, no line feed")]
-    assert sorted(map(tuple, documents.page_table(lines).collect())) == [(1, "again"), (2, "last, no line feed")]
+    assert [(r.reason, r.line) for r in documents.tsv_rejects(spark, str(tmp_path / "c.tsv")).orderBy("row_seq").collect()] == [("no tab", "no tab"), ("doc_id", "x\ty")]
+    assert sorted((r.doc_id, r.content) for r in lines.collect()) == [(1, "a\tb"), (1, "ag\rain"), (2, "last, no line feed")]
+    assert sorted(map(tuple, documents.page_table(lines).collect())) == [(1, "ag\rain"), (2, "last, no line feed")]
     assert [tuple(r) for r in documents.lookup(docs(spark, ["a"]), [0, 5]).orderBy("doc_id").collect()] == [(0, "a"), (5, None)]
 
 
 def test_chunks(spark):
     d = docs(spark, ["t128 t129 t256 t257"] * 128 + ["t129 t256 t257"] + ["t256 t257"] * 127 + ["t257"])
     impacts = index.impacts(d)
-    lexicon = {r.term: r.end_chunk - r.start_chunk + 1 for r in index.lexicon(impacts).collect()}
+    lexicon = {r.term: r.end_chunk - r.start_chunk + 1 for r in index.lexicon(corpus.term_df(impacts)).collect()}
     assert lexicon == {"t128": 1, "t129": 2, "t256": 2, "t257": 3}
     chunks = index.chunk_directory(impacts).orderBy("chunk_no").collect()
     assert [c.n_postings for c in chunks] == [128, 128, 1, 128, 128, 128, 128, 1]
     assert sorted(map(tuple, index.undo_gaps(index.placed(impacts)).collect())) == sorted((r.term, r.doc_id) for r in impacts.collect())
 
 
+def test_hot_terms_are_arranged_in_parts(spark):
+    rng = random.Random(4)
+    rows = [(t, d, rng.randrange(1, 5), 9) for t, n in (("hot", 700), ("warm", 300), ("cold", 20), ("once", 1)) for d in rng.sample(range(5000, 9000), n)]
+    found = spark.createDataFrame(rows, "term string, doc_id long, tf long, doc_len long").repartition(5)
+    want = {}
+    for term in {r[0] for r in rows}:
+        ids = sorted(r[1] for r in rows if r[0] == term)
+        want |= {(term, d): (len(ids), i, ids[i - 1] if i else None) for i, d in enumerate(ids)}
+    for least in (100, 100_000):
+        assert {(r.term, r.doc_id): (r.df, r.position, r.before) for r in index.arranged(found, least).collect()} == want
+    assert index.arranged(found.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("file_blocks", [1, 2, 3, 24_000])
+def test_files_end_with_a_term_that_fills_them(spark, file_blocks):
+    rng = random.Random(file_blocks)
+    terms = [(f"t{i:04}", rng.choice([1, 1, 1, 3, 70, 200])) for i in range(300)]
+    files, blocks, place, chunks = [[]], {}, {}, []
+    for term, n in terms:
+        if len(files[-1]) and math.ceil(len(files[-1]) / 64) >= file_blocks:
+            files.append([])
+        for _ in range(n):
+            files[-1].append(term)
+            at = (len(files) - 1, (len(files[-1]) - 1) // 64)
+            blocks[at] = blocks.get(at, 0) + 1
+            place.setdefault(term, []).append(at)
+            chunks.append((len(chunks) + 1, term, 5))
+    df = spark.createDataFrame(chunks, "chunk_no long, term string, n_bytes long")
+    got = {(r.file_no, r.block_no): (r.n_chunks, r.payload_bytes) for r in index.block_directory(df, file_blocks).collect()}
+    assert got == {k: (n, 5 * n) for k, n in blocks.items()}
+    lexicon = df.groupBy("term").agg(F.min("chunk_no").alias("start_chunk"), F.max("chunk_no").alias("end_chunk"))
+    some = [t for t, _ in terms[::20]]
+    places = {r.term: (r.file_no, r.first_block, r.last_block) for r in index.list_places(lexicon, index.file_starts(df, file_blocks), [*some, "absent"]).collect()}
+    assert places == {t: (place[t][0][0], place[t][0][1], place[t][-1][1]) for t in some}
+
+
 def test_positions_and_running_sum_cross_partitions(spark):
     rows = spark.range(5000).select((F.col("id") % 3 * 0 + F.when(F.col("id") < 4500, 0).otherwise(F.col("id"))).alias("k"), F.col("id").alias("o"))
     got = positions(rows, "k", "o").collect()
@@ -120,6 +157,37 @@ def test_search_matches_model(spark, mode):
         assert all(abs(g[1] - w[1]) < 1e-6 for g, w in zip(got, want, strict=True))
 
 
+def test_rejected_queries():
+    assert [search.rejected(q) for q in (None, "", " \t", "..", "é", "a..")] == ["empty", "empty", "empty", "no terms", "no terms", None]
+
+
+@pytest.mark.parametrize("lead", [1, 50])
+def test_batches_equal_single_searches(spark, tmp_path, monkeypatch, lead):
+    from corvidex import frames
+
+    rng = random.Random(lead)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, [40 / (i + 1) for i in range(40)], k=rng.randrange(25))) for _ in range(300)]
+    index.write_index(docs(spark, texts), str(tmp_path))
+    opened = index.open_index(spark, str(tmp_path))
+    monkeypatch.setattr(search, "LEAD", lead)
+    monkeypatch.setattr(search, "join_salted", lambda *a: frames.join_salted(*a, most=200))
+    asked = {f"q{i}": " ".join(rng.sample(words, rng.randrange(1, 9))) for i in range(12)} | {"own": texts[5], "none": "..", "missing": "w1 zz", "gone": "zz"}
+    batch = spark.createDataFrame([*asked.items(), ("null", None)], "item string, text string")
+    for mode in ("or", "and"):
+        got = {}
+        for r in search.search_batch(opened, batch, mode, 7).collect():
+            got.setdefault(r.item, []).append((r.rank, r.doc_id, r.score))
+        for item, query in asked.items():
+            want = model(texts, query, mode, 7) if search.terms_of(query) else []
+            assert [(r[0], r[1]) for r in sorted(got.get(item, []))] == [(i + 1, w[0]) for i, w in enumerate(want)]
+            assert all(abs(r[2] - w[1]) < 2e-6 for r, w in zip(sorted(got.get(item, [])), want, strict=True))
+    counts = {r.mode: r.n_docs for r in search.count_matches(opened, asked["q1"]).collect()}
+    assert counts == {mode: len(model(texts, asked["q1"], mode, 1000)) for mode in ("and", "or")}
+    assert search.search_index(opened, "w1 zz", "and").count() == 0
+    assert [r.doc_id for r in search.search_index(opened, asked["q1"], "or", 7).orderBy("rank").collect()] == [d for d, _ in model(texts, asked["q1"], "or", 7)]
+
+
 def test_search_edges(spark):
     d = docs(spark, ["a b", "b", None])
     scores = search.byte_scores(index.impacts(d))
@@ -179,8 +247,3 @@ def test_and_is_part_of_or_whatever_the_order_of_rows(spark):
     assert found["plain"] == found["shuffled"]
     either = {r[1]: r[2] for r in found["plain"]["or"]}
     assert all(either[r[1]] == r[2] for r in found["plain"]["and"])
-    batch = spark.createDataFrame([("x", "ab kl gh"), ("y", "nothing"), ("z", None), ("w", "ab ab")], "item string, text string")
-    scores = search.byte_scores(index.impacts(d))
-    got = search.search_batch(scores, batch, "or", 200).collect()
-    assert {r.item for r in got} == {"x", "w"}
-    assert sorted((r.rank, r.doc_id, r.score) for r in got if r.item == "x") == found["plain"]["or"]
