@@ -38,8 +38,8 @@ def _mix(spark: SparkSession, d: str) -> mixing.Mix:
     return mixing.mix_sources(sized, table(spark, d, "mix_targets"))
 
 
-def _spans(spark: SparkSession, d: str, every: bool = True) -> tuple[DataFrame, DataFrame]:
-    return spans.shared_spans(table(spark, d, "documents"), every=every)
+def _sites(spark: SparkSession, d: str) -> spans.Sites:
+    return spans.anchor_sites(table(spark, d, "documents"))
 
 
 def _p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,12 +56,21 @@ def _p4_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p10_found(spark: SparkSession, d: str) -> DataFrame:
-    found, members = _spans(spark, d, every=False)
-    return neardup.document_pairs(found.select("rep_a", "rep_b").distinct(), members)
+    sites = _sites(spark, d)
+    return neardup.document_pairs(spans.shared_pairs(sites), sites.members)
+
+
+def _p10_members(spark: SparkSession, d: str) -> DataFrame:
+    sites = _sites(spark, d)
+    return _members(spans.shared_pairs(sites), sites.members)
+
+
+def _p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_shares(_sites(spark, d)).select("doc_id", "n_chars", "n_shared", F.round("share", 6).alias("share"))
 
 
 def _members(found: DataFrame, members: DataFrame) -> DataFrame:
-    """(doc_id, rep, links): whose copy each record is, itself included, and how many links or spans that one has."""
+    """(doc_id, rep, links): whose copy each record is, itself included, and to how many others that one has links."""
     ends = found.select(F.col("rep_a").alias("rep")).unionByName(found.select(F.col("rep_b").alias("rep")))
     links = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     return members.select("doc_id", "rep").join(links, "rep", "left").select("doc_id", "rep", F.coalesce("links", F.lit(0)).alias("links"))
@@ -84,9 +93,9 @@ QUERIES: dict[str, Query] = {
     "p9_mix": lambda s, d: _mix(s, d).rows,
     "p9_shares": lambda s, d: _mix(s, d).report,
     "p10_found": _p10_found,
-    "p10_spans": lambda s, d: _spans(s, d)[0],
-    "p10_members": lambda s, d: _members(*_spans(s, d)),
-    "p10_shares": lambda s, d: spans.shared_shares(*_spans(s, d)),
+    "p10_spans": lambda s, d: spans.shared_spans(_sites(s, d)),
+    "p10_members": _p10_members,
+    "p10_shares": _p10_shares,
 }
 
 _CURRENT = "current_pages as (select doc_id, content from page_table qualify row_number() over (partition by doc_id order by row_seq desc) = 1)"
@@ -156,4 +165,12 @@ ORACLES: dict[str, str] = {
             select distinct doc_id, unnest(list_transform(range(1, length(text) - 198), lambda i: substring(text, i, 200))) as w from documents where length(text) >= 200
         )
         select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from windows a join windows b on a.w = b.w and a.doc_id < b.doc_id""",
+    "p10_shares": """with windows as (
+            select doc_id, i, substring(text, i, 200) as w from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)
+        ), hits as (select doc_id, i from windows where w in (select w from windows group by w having count(distinct doc_id) > 1)),
+        covered as (
+            select doc_id, sum(least(200, following - i)) as n from (select *, coalesce(lead(i) over (partition by doc_id order by i), i + 200) as following from hits) group by doc_id
+        )
+        select doc_id, length(text) as n_chars, cast(coalesce(n, 0) as bigint) as n_shared, round(coalesce(n, 0) / length(text), 6) as share
+        from documents left join covered using (doc_id) where length(text) >= 200""",
 }

@@ -165,8 +165,8 @@ def test_shared_spans(spark, length, gram):
     texts |= {90: texts[0], 91: texts[0], 92: None, 93: "", 94: "a" * 5 * length, 95: "b" + "a" * 4 * length + "c", 96: "ab" * 3 * length, 97: "z" * length + texts[5] + "y" * 3000}
     rows = [(i, t, "clash") for i, t in texts.items()]
     df = spark.createDataFrame([*rows, *rows[:9]], "doc_id long, text string, key string")
-    found, members = spans.shared_spans(df, length, gram)
-    rows = found.collect()
+    sites = spans.anchor_sites(df, length, gram)
+    rows = spans.shared_spans(sites).collect()
     for r in rows:
         a, b = texts[r.rep_a][r.start_a : r.start_a + r.length], texts[r.rep_b][r.start_b : r.start_b + r.length]
         assert a == b and r.length >= length
@@ -174,14 +174,22 @@ def test_shared_spans(spark, length, gram):
         after = texts[r.rep_a][r.start_a + r.length : r.start_a + r.length + 1], texts[r.rep_b][r.start_b + r.length : r.start_b + r.length + 1]
         assert not before and (after[0] != after[1] or not after[0])
     assert len(rows) == len(set(map(tuple, rows)))
-    pairs = neardup.document_pairs(found.select("rep_a", "rep_b").distinct(), members)
-    assert {tuple(r) for r in pairs.collect()} == brute_spans(texts, length)
-    shares = {r.doc_id: r for r in spans.shared_shares(found, members).collect()}
-    assert set(shares) == {i for i, t in texts.items() if t and len(t) >= length}
-    assert shares[90].share == 1.0
-    assert all(0 <= r.share <= 1 for r in shares.values())
-    empty, none = spans.shared_spans(df.limit(0), length, gram)
-    assert empty.count() == 0 and spans.shared_shares(empty, none).count() == 0
+    pairs = [tuple(r) for r in neardup.document_pairs(spans.shared_pairs(sites), sites.members).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute_spans(texts, length)
+    assert {(r.rep_a, r.rep_b) for r in rows} == {tuple(r) for r in spans.shared_pairs(sites).collect()}
+    shares = {r.doc_id: r.n_shared for r in spans.shared_shares(sites).collect()}
+    assert shares == brute_shares(texts, length)
+    empty = spans.anchor_sites(df.limit(0), length, gram)
+    assert spans.shared_spans(empty).count() == 0 and spans.shared_shares(empty).count() == 0
+
+
+def brute_shares(texts, length):
+    """Characters of each text in windows that another text has, too."""
+    have = defaultdict(set)
+    for i, t in texts.items():
+        for k in range(len(t or "") - length + 1):
+            have[t[k : k + length]].add(i)
+    return {i: len({k + x for k in range(len(t) - length + 1) if len(have[t[k : k + length]]) > 1 for x in range(length)}) for i, t in texts.items() if len(t or "") >= length}
 
 
 def brute_matches(a, b, length):
@@ -216,17 +224,30 @@ def test_repeated_passages_are_spans_and_shares_in_full(spark, length, gram):
         9: "nothing of all this is in another text",
     }
     df = spark.createDataFrame([*texts.items(), (50, texts[4])], "doc_id long, text string")
-    found, members = spans.shared_spans(df, length, gram)
-    rows = [tuple(r) for r in found.collect()]
+    sites = spans.anchor_sites(df, length, gram)
+    rows = [tuple(r) for r in spans.shared_spans(sites).collect()]
     assert len(rows) == len(set(rows))
     assert set(rows) == {(i, j, *m) for i, j in combinations(texts, 2) for m in brute_matches(texts[i], texts[j], length)}
-    shares = {r.doc_id: r.n_shared for r in spans.shared_shares(found, members).collect()}
-    for i, t in texts.items():
-        inside = {k + x for k in range(len(t) - length + 1) if any(t[k : k + length] in u for j, u in texts.items() if j != i) for x in range(length)}
-        assert shares[i] == (len(t) if i == 4 else len(inside))
+    shares = {r.doc_id: r.n_shared for r in spans.shared_shares(sites).collect()}
+    assert shares == brute_shares({**texts, 50: texts[4]}, length)
     assert shares[0] == len(texts[0])
 
 
+def test_boilerplate_gives_shares_without_pairs(spark, monkeypatch):
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    passage, texts = word(600), {}
+    for i in range(150):
+        texts[i] = word(50 + i % 90) + passage[i % 7 * 20 :] + word(120)
+    texts[500] = word(900)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(spans, "MOST_PAIRS", 3_000)
+    monkeypatch.setattr(spans, "MOST_PARTNERS", 50)
+    sites = spans.anchor_sites(df)
+    assert {r.doc_id: r.n_shared for r in spans.shared_shares(sites).collect()} == brute_shares(texts, 200)
+    assert {tuple(r) for r in spans.shared_pairs(sites).collect()} == set(combinations(range(150), 2))
+
+
 TARGETS = "source string, target_share double, max_repeats int"
 
 
@@ -236,7 +257,7 @@ def test_mix(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long").withColumn("block", F.lit("clash"))
     wanted = {"big": (0.3, 1), "mid": (0.3, 4), "small": (0.3, 2), "tiny": (0.05, 3), "zero": (0.01, 2), "none": (0.04, 2)}
     targets = spark.createDataFrame([(s, *w) for s, w in wanted.items()] + [(None, 0.1, 1)], TARGETS)
-    mix = mixing.mix_sources(df, targets, shards=5, blocks=200)
+    mix = mixing.mix_sources(df, targets, shards=5, blocks=1000)
     report = {r.source: r for r in mix.report.collect()}
     total = sum(t for _, s, t in rows if s in wanted)
     used, tokens, got = Counter(), Counter(), mix.rows.collect()
@@ -260,7 +281,7 @@ def test_mix(spark):
     for own in shards.values():
         assert sorted(r.place for r in own) == list(range(1, len(own) + 1))
         assert 0.7 < sum(r.source == "big" for r in own) / len(own) / (sum(r.source == "big" for r in got) / len(got)) < 1.3
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_sources(df.repartition(3), targets, shards=5, blocks=200).rows.collect()))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_sources(df.repartition(3), targets, shards=5, blocks=1000).rows.collect()))
 
 
 def test_a_text_larger_than_the_quota_does_not_end_the_draw(spark):
@@ -275,6 +296,17 @@ def test_a_text_larger_than_the_quota_does_not_end_the_draw(spark):
         assert report["a"].drawn_tokens == 150_000 and not report["a"].short
 
 
+def test_very_many_repeats_are_dealt_evenly(spark):
+    df = spark.createDataFrame([(i, "tiny", 7) for i in range(3)] + [(10, "big", 500_000)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("tiny", 0.5, 2_000_000), ("big", 0.5, 1)], TARGETS)
+    mix = mixing.mix_sources(df, targets, shards=4, blocks=16)
+    got = mix.drawn.where("source = 'tiny'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("repeat").alias("d"), F.max("repeat").alias("last")).collect()
+    times = 250_010 // 21
+    assert {r.doc_id for r in got} == {0, 1, 2} and all(r.n == r.d == r.last + 1 and times <= r.n <= times + 1 for r in got)
+    by_shard = [r["count"] for r in mix.drawn.where("source = 'tiny'").groupBy("shard").count().collect()]
+    assert len(by_shard) == 4 and max(by_shard) - min(by_shard) <= 12
+
+
 def test_mix_edges(spark):
     df = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 1.0, 2)], TARGETS)
