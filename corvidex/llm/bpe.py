@@ -11,9 +11,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corvidex.frames import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG = 2_000  # bytes; longer words are merged by a heap, as every round of a query holds the whole word
+BATCH = 500_000  # bytes a query
 MOST_KEPT = 200_000
 
 # Rows (word, position, token) of the words that still change are joined with the merge table in each round.
@@ -75,7 +78,7 @@ class Encoder:
         self.split = regex.compile(PATTERN).findall
         self.bytes, self.table = merges
         self.kept: dict[str, list[int]] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._load("merges", dict(zip(("a", "b", "rank", "token"), self.table.T, strict=True)))
         self.ranks: dict[tuple[int, int], tuple[int, int]] | None = None
 
@@ -85,25 +88,40 @@ class Encoder:
         self.db.unregister("arrived")
 
     def learn(self, words: list[str]) -> None:
-        """Merge words that are not known yet, up to a million bytes a query."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        at = 0
-        while at < len(words):
-            end, size = at, 0
-            while end < len(words) and (end == at or size < 1_000_000):
-                size += len(raw[end]) if len(raw[end]) <= LONG else 0
-                end += 1
-            short = [i for i in range(at, end) if len(raw[i]) <= LONG]
-            for i in set(range(at, end)) - set(short):
-                self.kept[words[i]] = self.by_heap(raw[i])
-            if short:
-                sizes = np.array([len(raw[i]) for i in short])
-                tokens = self.bytes[np.frombuffer(b"".join(raw[i] for i in short), np.uint8)]
-                pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                self._load("start", {"word": np.repeat(np.array(short), sizes), "pos": pos, "token": tokens})
-                for i, ids in self.db.execute(MERGE).fetchall():
-                    self.kept[words[i]] = ids
-            at = end
+        """Merge words that are not known yet, up to BATCH bytes a query."""
+        waiting, size = [], 0
+        for word in words:
+            raw = word.encode("utf-8", "surrogatepass")
+            if len(raw) > LONG:
+                self.kept[word] = self.by_heap(raw)
+                continue
+            waiting.append((word, raw))
+            size += len(raw)
+            if size >= BATCH:
+                self._merge(waiting)
+                waiting, size = [], 0
+        self._merge(waiting)
+
+    def _merge(self, words: list[tuple[str, bytes]]) -> None:
+        """One query; words that are too many for its memory are merged in halves, as nothing goes to a disk."""
+        import duckdb
+
+        if not words:
+            return
+        sizes = np.array([len(raw) for _, raw in words])
+        tokens = self.bytes[np.frombuffer(b"".join(raw for _, raw in words), np.uint8)]
+        pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        try:
+            self._load("start", {"word": np.repeat(np.arange(len(words)), sizes), "pos": pos, "token": tokens})
+            found = self.db.execute(MERGE).fetchall()
+        except duckdb.OutOfMemoryException:
+            if len(words) == 1:
+                raise
+            self._merge(words[: len(words) // 2])
+            self._merge(words[len(words) // 2 :])
+            return
+        for i, ids in found:
+            self.kept[words[i][0]] = ids
 
     def by_heap(self, word: bytes) -> list[int]:
         """One long word: the least rank first, leftmost among equals, over linked positions."""
@@ -155,7 +173,7 @@ def _mapper(merges: object, counts: bool) -> Callable:
 
 def _encoded(docs: DataFrame, text: str, keep: list[str], path: str, counts: bool) -> DataFrame:
     merges = docs.sparkSession.sparkContext.broadcast(read_merges(path))
-    chosen = docs.select(*keep, text)
+    chosen = spread(docs.select(*keep, text))
     kinds = dict(chosen.dtypes)
     result = "n_tokens long" if counts else "ids array<int>"
     return chosen.mapInArrow(_mapper(merges, counts), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), result]))

@@ -13,7 +13,6 @@ from corvidex.frames import bounded, cut, positions
 SUB_BLOCKS = 1_024
 ROWS_A_ROUND = 10_000  # rows of a source the driver gets at once
 MOST_SOURCES = 10_000
-MOST_DRAWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -45,7 +44,8 @@ def mix_sources(sized: DataFrame, targets: DataFrame, shards: int = 16, blocks:
 
     No row is used more than max_repeats times; a source too small for that gives all it has, and its row of the
     report is marked short. Rows are hashed into blocks, about `blocks` of them over all sources, whose sums are
-    all that the driver sees. A source is passed over as often as its quota holds it whole, then blocks are drawn
+    all that the driver sees. A source is passed over as often as its quota holds it whole (a number a block and shard,
+    expanded by the executors), then blocks are drawn
     in random order, without those that exceed what is open. These are split into SUB_BLOCKS and at last into rows,
     until what is open is less than the least row that is left. Drawn blocks are dealt to the shards by split_tree, and each shard is shuffled on its own.
 
@@ -76,18 +76,18 @@ def mix_sources(sized: DataFrame, targets: DataFrame, shards: int = 16, blocks:
     for r in spread.groupBy("s", "block").agg(F.sum("n_tokens").alias("tokens")).collect():
         block_sums[r["s"]][r["block"]] = r["tokens"]
 
-    draws: list[list[tuple[int, int]]] = []  # of each source, (block, repeat) in drawn order
+    draws: list[list[int]] = []  # of each source, the blocks drawn once more than it is passed over whole
     full = [int(amount[s] // tokens[s]) if tokens[s] else 0 for s in range(len(names))]
     left = [int(amount[s]) - full[s] * int(tokens[s]) for s in range(len(names))]
     over: dict[int, list[int]] = {}  # of each source, the blocks that did not fit, in random order
     for s in range(len(names)):
-        mine = [(b, p) for p in range(full[s]) for b in rng.permutation(sorted(block_sums[s])).tolist()]
+        mine: list[int] = []
         if left[s] > 0:
             for b in rng.permutation(sorted(block_sums[s])).tolist():
                 if block_sums[s][b] > left[s]:
                     over.setdefault(s, []).append(b)
                 else:
-                    mine.append((b, full[s]))
+                    mine.append(b)
                     left[s] -= block_sums[s][b]
         draws.append(mine)
 
@@ -136,22 +136,30 @@ def mix_sources(sized: DataFrame, targets: DataFrame, shards: int = 16, blocks:
             if left[s] <= 0 or len(some.get(s, [])) == 0:
                 active.discard(s)
     for s, block in sorted(parts.keys() | single.keys()):
-        draws[s].append((block, full[s]))
+        draws[s].append(block)
     drawn = np.array([int(amount[s]) - left[s] for s in range(len(names))], np.int64)
-    if sum(map(len, draws)) > MOST_DRAWS:
-        raise ValueError("too many draws: max_repeats is too high for this number of blocks")
 
-    quotas = np.array([len(d) for d in draws], np.int64)
+    # Of whole passes, as many as go evenly are the same for all shards; what is over is dealt by the tree.
+    quotas = np.array([full[s] % shards * len(block_sums[s]) + len(draws[s]) for s in range(len(names))], np.int64)
     tree = split_tree(quotas, shards, rng) if len(names) else np.zeros((shards, 0), int)
-    dealt = []
+    dealt = []  # source, block, shard, first repeat, repeats, and of a part of a block its sub-blocks and rows
     for s, mine in enumerate(draws):
-        order, shard_of = rng.permutation(len(mine)), np.repeat(np.arange(shards), tree[:, s])
-        for i, shard in zip(order.tolist(), shard_of.tolist(), strict=True):
-            block, repeat = mine[i]
-            split = repeat == full[s] and ((s, block) in parts or (s, block) in single)
-            dealt.append((s, block, repeat, shard, parts.get((s, block), []) if split else None, single.get((s, block), []) if split else None))
-    deal = F.broadcast(spark.createDataFrame(dealt, f"s int, block int, repeat int, shard int, subs array<int>, docs array<{key}>"))
-    mixed = spread.join(deal, ["s", "block"]).where("subs is null or array_contains(subs, sub) or array_contains(docs, doc_id)").select("doc_id", "source", "repeat", "shard")
+        taken = rng.multivariate_hypergeometric(tree[:, s], len(mine), method="marginals")
+        for i, shard in zip(rng.permutation(len(mine)).tolist(), np.repeat(np.arange(shards), taken).tolist(), strict=True):
+            block = mine[i]
+            split = (s, block) in parts or (s, block) in single
+            dealt.append((s, block, shard, full[s], 1, parts.get((s, block), []) if split else None, single.get((s, block), []) if split else None))
+        quota = tree[:, s] - taken
+        for block in sorted(block_sums[s]) if full[s] else ():
+            over_even = rng.multivariate_hypergeometric(quota, full[s] % shards, method="marginals")
+            quota = quota - over_even
+            times = over_even + full[s] // shards
+            for shard, first, n in zip(range(shards), (np.cumsum(times) - times).tolist(), times.tolist(), strict=True):
+                if n:
+                    dealt.append((s, block, shard, first, n, None, None))
+    deal = F.broadcast(spark.createDataFrame(dealt, f"s int, block int, shard int, first int, times int, subs array<int>, docs array<{key}>"))
+    mixed = spread.join(deal, ["s", "block"]).where("subs is null or array_contains(subs, sub) or array_contains(docs, doc_id)")
+    mixed = mixed.select("doc_id", "source", F.explode(F.sequence("first", F.col("first") + F.col("times") - 1)).alias("repeat"), "shard")
     whole = int(drawn.sum())
     report = [
         (r["source"], float(r["target_share"]), int(r["max_repeats"]), int(n_rows[s]), int(tokens[s]), float(want[s]), int(drawn[s]), float(drawn[s]) / whole if whole else 0.0, bool(short[s]))
