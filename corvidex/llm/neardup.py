@@ -11,11 +11,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvidex.frames import broadcast_if_small, cut
+from corvidex.frames import broadcast_if_small, cut, join_unique
 
 TOKEN = re.compile("[0-9A-Za-z]+")
 MOST_HOT = 200_000  # frequent shingles known to every task; the others only lose their place in the order
 SALT_ROWS = 2_000
+MOST_PARTNERS = 5_000  # rows that one copy of a set or text meets
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -55,35 +56,56 @@ def _shingler(words: int, least: int) -> Callable:
     return run
 
 
+def several_a_piece(similarity: float) -> bool:
+    """Whether sets so similar differ in few enough members for pieces of more than two members."""
+    return (1 - similarity) / (1 + similarity) * (1 + 1 / similarity) <= 0.3
+
+
 def signatures(sets: list[np.ndarray], hot: tuple[np.ndarray, np.ndarray], similarity: float, least: int) -> dict[str, np.ndarray]:
-    """Rows (set, sig, own) of the sets and (p0, p1), a parity sketch of 128 bits, of each set.
-
-    The hash space of a size band is cut into blocks, three for each member of its largest set, and a
-    block's members are XORed. Two sets that differ in d members differ in at most d blocks; so of the
-    non-empty blocks, ordered by the frequency of their rarest member, the first d + 1 of both sets hold a
-    common one, unless one set has only d. Sets with at most d non-empty blocks send every member as well:
-    a pair lost above has two such sets. d is the largest difference the similarity allows to a partner in
-    the band. A set sends blocks for its own band and, if partners may be there, for the next one.
+    """Rows (set, sig, own, pos) of the sets; n, band and (p0, p1), a parity sketch of 128 bits, of each set.
+
+    By pigeonhole, each set sends so many pieces that one of them is alike in any partner, for its own size band
+    and, if larger partners may be there, for the next one. Pieces come by the frequency of their rarest member. Where
+    several_a_piece, the hash space of a band is cut into blocks, two for each of d + 1, d being the largest difference to
+    a partner, and the members of a block are XORed: two sets differ in at most d blocks, so the first d + 1
+    non-empty ones of both hold a common one, unless one set has only d; such sets send every member as well.
+    Else a piece is one member. A member that only one set has then breaks no piece of the other, so fewer do: all
+    but as many as the overlap has to hold, and one more. pos is the member's place in that order.
     """
     sizes = np.array([len(s) for s in sets])
     doc, h = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
     known, counts = hot
     at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
     freq = np.where(known[at] == h, counts[at], 0) if len(known) else np.zeros(len(h), np.int64)
+    order = np.lexsort((h, freq, doc))
+    h, freq = h[order], freq[order]
+    pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     ends, far = bands(least, similarity), np.floor(sizes / similarity + 1e-9).astype(np.int64)
     band = np.searchsorted(ends, sizes, "right") - 1
-    part = (1 - similarity) / (1 + similarity)
-    out: dict[str, list] = {"set": [], "sig": [], "own": []}
+    part, overlap = (1 - similarity) / (1 + similarity), similarity / (1 + similarity)
+    out: dict[str, list] = {"set": [], "sig": [], "own": [], "pos": []}
+
+    def send(of: np.ndarray, sig: np.ndarray, own: bool, pos: np.ndarray | None = None) -> None:
+        for name, column in (("set", of), ("sig", sig), ("own", np.full(len(of), own)), ("pos", np.zeros(len(of), np.int64) if pos is None else pos)):
+            out[name].append(column)
+
     for own in (True, False):
         label = band if own else band + 1
         upper = ends[label + 1]
         there = np.ones(len(sets), bool) if own else far >= ends[label]
+        if not several_a_piece(similarity):
+            # A larger set has at least similarity * n in common with a partner, a smaller one more by the partner's size.
+            common = similarity * sizes if own else overlap * (sizes + ends[label])
+            use = there[doc] & (pos < (sizes - np.ceil(common - 1e-9) + 1)[doc])
+            send(doc[use], mix(h[use] ^ mix(label[doc[use]].astype(np.uint64), 0x3EAC), 11), own, pos[use])
+            continue
         d = np.floor(part * (sizes + np.minimum(far, upper - 1)) + 1e-9).astype(np.int64)
         use = there[doc]
         own_doc, own_h, own_freq = doc[use], h[use], freq[use]
         if not len(own_h):
             continue
-        block = mix(own_h, 0x51ED) % (3 * upper[own_doc]).astype(np.uint64)
+        most = np.floor(part * (upper + upper / similarity)).astype(np.int64)
+        block = mix(own_h, 0x51ED) % (2 * (most + 1))[own_doc].astype(np.uint64)
         order = np.lexsort((block, own_doc))
         own_doc, own_h, own_freq, block = own_doc[order], own_h[order], own_freq[order], block[order]
         first = np.ones(len(own_h), bool)
@@ -95,38 +117,78 @@ def signatures(sets: list[np.ndarray], hot: tuple[np.ndarray, np.ndarray], simil
         order = np.lexsort((sig, rare, of))
         place = np.arange(len(of)) - np.concatenate([[0], np.cumsum(filled)])[of]
         keep = place <= d[of]
-        out["set"].append(of[order][keep])
-        out["sig"].append(sig[order][keep])
-        out["own"].append(np.full(keep.sum(), own))
-        weak = (filled[own_doc] <= d[own_doc])
-        out["set"].append(own_doc[weak])
-        out["sig"].append(mix(own_h[weak] ^ mix(label[own_doc[weak]].astype(np.uint64), 0x3EAC), 11))
-        out["own"].append(np.full(weak.sum(), own))
-    bit = mix(h, 0x5EED) % np.uint64(128)
+        send(of[order][keep], sig[order][keep], own)
+        weak = filled[own_doc] <= d[own_doc]
+        send(own_doc[weak], mix(own_h[weak] ^ mix(label[own_doc[weak]].astype(np.uint64), 0x3EAC), 11), own)
     odd = np.zeros((len(sets), 128), np.uint8)
-    np.bitwise_xor.at(odd, (doc, bit.astype(int)), 1)
+    np.bitwise_xor.at(odd, (doc, (mix(h, 0x5EED) % np.uint64(128)).astype(int)), 1)
     sketch = np.packbits(odd, axis=1).view(np.int64)
     result = {k: np.concatenate(v) for k, v in out.items()}
-    return result | {"p0": sketch[:, 0].copy(), "p1": sketch[:, 1].copy(), "n": sizes}
+    return result | {"p0": sketch[:, 0].copy(), "p1": sketch[:, 1].copy(), "n": sizes, "band": band}
+
+
+def parity_sketch(members: np.ndarray, upper: int) -> np.ndarray:
+    """Parities of the members' hashes in 4 bits for each of `upper` members, as words of 64 bits. Sets of one band compare."""
+    words = -(-4 * upper // 64)
+    bit = mix(members, 0x0DD) % np.uint64(64 * words)
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, (bit >> np.uint64(6)).astype(int), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def _sets_of(lists: pa.ListArray) -> list[np.ndarray]:
+    return [lists[i].values.to_numpy().view(np.uint64) for i in range(len(lists))]
 
 
 def _sketcher(hot: object, similarity: float, least: int) -> Callable:
+    """(rep, shingles) to (sig, rep, meta, p0, p1); meta is n << 32 | band << 25 | own << 24 | pos."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                ids, lists = batch.column(0).to_numpy(), batch.column(1)
-                sets = [lists[i].values.to_numpy().view(np.uint64) for i in range(len(lists))]
-                s = signatures(sets, hot.value, similarity, least)
+                ids = batch.column(0).to_numpy()
+                s = signatures(_sets_of(batch.column(1)), hot.value, similarity, least)
                 of = s["set"]
-                yield pa.record_batch(
-                    [pa.array(s["sig"].view(np.int64)), pa.array(ids[of]), pa.array(s["n"][of].astype(np.int32)), pa.array(s["own"]), pa.array(s["p0"][of]), pa.array(s["p1"][of])],
-                    names=["sig", "rep", "n", "own", "p0", "p1"],
-                )
+                # A lower place than the true one is only less strict.
+                meta = (s["n"][of].astype(np.int64) << 32) | (s["band"][of].astype(np.int64) << 25) | (s["own"].astype(np.int64) << 24) | np.minimum(s["pos"], (1 << 24) - 1)
+                yield pa.record_batch([pa.array(s["sig"].view(np.int64)), pa.array(ids[of]), pa.array(meta), pa.array(s["p0"][of]), pa.array(s["p1"][of])], names=["sig", "rep", "meta", "p0", "p1"])
 
     return run
 
 
+def _wide_sketcher(similarity: float, least: int) -> Callable:
+    """(rep, shingles) to (rep, band, words): parity sketches for the set's own size band and the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = bands(least, similarity)
+        for batch in batches:
+            reps, labels, words = [], [], []
+            for rep, members in zip(batch.column(0).to_pylist(), _sets_of(batch.column(1)), strict=True):
+                band = int(np.searchsorted(ends, len(members), "right")) - 1
+                for label in (band, band + 1):
+                    reps.append(rep)
+                    labels.append(label)
+                    words.append(parity_sketch(members, int(ends[label + 1])).view(np.int64))
+            sizes = np.cumsum([0, *map(len, words)]).astype(np.int32)
+            yield pa.record_batch([pa.array(reps, pa.int64()), pa.array(labels, pa.int32()), pa.ListArray.from_arrays(sizes, np.concatenate(words) if words else np.empty(0, np.int64))], names=["rep", "band", "words"])
+
+    return run
+
+
+def attach(pairs: DataFrame, table: DataFrame, side: str, column: str, *also: str) -> DataFrame:
+    """pairs (rep_a, rep_b, ...) with column of the table's row for rep_<side> (and the same `also`), as <column>_<side>.
+
+    A row with very many partners stands in several tasks.
+    """
+    key = f"rep_{side}"
+    parts = cut(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / MOST_PARTNERS).cast("int")))
+    salted = join_unique(pairs, parts, key, "n").withColumn("part", F.pmod(F.xxhash64("rep_a", "rep_b"), F.col("parts").cast("long")).cast("int")).drop("n", "parts")
+    rows = table.select(F.col("rep").alias(key), F.col(column).alias(f"{column}_{side}"), *also).join(parts, key)
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("n", "parts")
+    return salted.join(rows, [key, "part", *also]).drop("part")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """Of documents (doc_id, content), the pairs of shingle sets at least so similar (Jaccard), and who has them.
 
@@ -152,33 +214,44 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, le
     order = np.argsort(known)
     hot = spark.sparkContext.broadcast((known[order], frequent["count"].to_numpy(np.int64)[order]))
 
-    rows = cut(reps.mapInArrow(_sketcher(hot, similarity, max(1, least)), "sig long, rep long, n int, own boolean, p0 long, p1 long"))
+    floor = max(1, least)
+    rows = cut(reps.mapInArrow(_sketcher(hot, similarity, floor), "sig long, rep long, meta long, p0 long, p1 long"))
     crowded = broadcast_if_small(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > SALT_ROWS))
 
     def side(df: DataFrame, name: str, *salt: Column) -> DataFrame:
-        return df.select("sig", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "own", "p0", "p1")], *salt)
+        return df.select("sig", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "meta", "p0", "p1")], *salt)
 
     # Both sides of the first join are the same rows: they are shuffled once. Signatures of very many sets are salted.
     few, many = rows.join(crowded.select("sig"), "sig", "left_anti"), rows.join(crowded, "sig")
     salts = F.ceil(F.col("sets") / SALT_ROWS)
     salt, every = F.pmod(F.xxhash64("rep"), salts).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")
     met = side(few, "a").join(side(few, "b"), "sig").unionByName(side(many, "a", salt).join(side(many, "b", every), ["sig", "salt"]).drop("salt"))
+    # a is the smaller set, of equal ones that with the smaller rep, and b is in its own band.
+    n_a, n_b = (F.shiftright(f"meta_{x}", 32) for x in "ab")
+    pos_a, pos_b = (F.col(f"meta_{x}").bitwiseAND(F.lit((1 << 24) - 1)) for x in "ab")
+    own_b = F.col("meta_b").bitwiseAND(F.lit(1 << 24)) != 0
     part = (1 - similarity) / (1 + similarity)
     apart = F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))) + F.bit_count(F.col("p1_a").bitwiseXOR(F.col("p1_b")))
     near = (
-        (F.col("rep_a") < F.col("rep_b"))
-        & (F.col("own_a") | F.col("own_b"))
-        & (F.least("n_a", "n_b") + 1e-9 >= similarity * F.greatest("n_a", "n_b"))
-        & (apart <= part * (F.col("n_a") + F.col("n_b")) + 1e-9)
-    )
-    candidates = cut(met.where(near).select("rep_a", "rep_b").distinct())
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    verified = (
-        candidates.join(reps.select(F.col("rep").alias("rep_a"), F.col("shingles").alias("s_a")), "rep_a")
-        .join(reps.select(F.col("rep").alias("rep_b"), F.col("shingles").alias("s_b")), "rep_b")
-        .select("rep_a", "rep_b", shared.alias("shared"), (F.size("s_a") + F.size("s_b")).alias("both"))
+        own_b
+        & ((n_a < n_b) | ((n_a == n_b) & (F.col("rep_a") < F.col("rep_b"))))
+        & (n_a + 1e-9 >= similarity * n_b)
+        # What follows the first common member is all that may be in common, too.
+        & (F.least(n_a - pos_a, n_b - pos_b) + 1e-9 >= (n_a + n_b) * (similarity / (1 + similarity)))
+        & (apart <= part * (n_a + n_b) + 1e-9)
     )
-    links = verified.select("rep_a", "rep_b", "shared", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity"))
+    band = F.shiftright("meta_b", 25).bitwiseAND(F.lit(127)).cast("int")
+    candidates = cut(met.where(near).select("rep_a", "rep_b", band.alias("band"), (part * (n_a + n_b) + 1e-9).alias("most")).distinct())
+
+    # Sketches as wide as the sets come once for each candidate, shingles for what these leave.
+    wide = cut(reps.mapInArrow(_wide_sketcher(similarity, floor), "rep long, band int, words array<long>"))
+    compared = attach(attach(candidates, wide, "a", "words", "band"), wide, "b", "words", "band")
+    differ = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    close = cut(compared.where(differ <= F.col("most")).select("rep_a", "rep_b"))
+    both = attach(attach(close, reps, "a", "shingles"), reps, "b", "shingles")
+    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    verified = both.select("rep_a", "rep_b", shared.alias("shared"), (F.size("shingles_a") + F.size("shingles_b")).alias("both"))
+    links = verified.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), "shared", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity"))
     return links.where(F.col("similarity") >= similarity), members
 
 

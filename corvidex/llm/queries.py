@@ -161,6 +161,9 @@ ORACLES: dict[str, str] = {
     "p5_found": f"""with {_QUALITY}
         select doc_id from stats where n < 5 or c / n < 2.5 or c / n > 12 or symbols / c > 0.10 or n_ends < 0.5 * n_lines or n_common < 0.10 * n""",
     "p6_found": f"with {_SHINGLES} select doc_id_a, doc_id_b from pairs where shared / (n_a + n_b - shared) >= 0.6",
+    "p6_links": f"""with {_SHINGLES}, sets as (select doc_id, list(g order by g) as s from kept group by doc_id), reps as (select min(doc_id) as rep from sets group by s)
+        select doc_id_a as rep_a, doc_id_b as rep_b, cast(shared as integer) as shared, round(shared / (n_a + n_b - shared), 6) as similarity from pairs
+        where shared / (n_a + n_b - shared) >= 0.6 and doc_id_a in (select rep from reps) and doc_id_b in (select rep from reps)""",
     "p10_found": """with windows as (
             select distinct doc_id, unnest(list_transform(range(1, length(text) - 198), lambda i: substring(text, i, 200))) as w from documents where length(text) >= 200
         )

@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from corvidex.frames import cut, join_unique, spread
 from corvidex.llm.chars import codepoints
-from corvidex.llm.neardup import mix
+from corvidex.llm.neardup import attach, mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MOST_PAIRS = 4_000_000  # joined rows of an anchor in one task
-MOST_PARTNERS = 5_000  # rows that one copy of a text meets
 EDGE = 0x110000  # stands beyond the ends of a text
 KEPT_TEXTS = 100  # of a batch, whose anchors stay for the next pair
 MOST_ROWS = 50_000  # spans of a batch that goes back to Spark
@@ -330,15 +329,6 @@ def shared_pairs(sites: Sites) -> DataFrame:
     return kept.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct()
 
 
-def _with_text(pairs: DataFrame, reps: DataFrame, side: str) -> DataFrame:
-    """pairs with the text of rep_<side>; a text with very many partners stands in several tasks."""
-    key = f"rep_{side}"
-    parts = cut(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / MOST_PARTNERS).cast("int")))
-    salted = join_unique(pairs, parts, key, "n").withColumn("part", F.pmod(F.xxhash64("rep_a", "rep_b"), F.col("parts").cast("long")).cast("int")).drop("n", "parts")
-    texts = reps.withColumnsRenamed({"rep": key, "text": f"text_{side}"}).join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("n", "parts")
-    return salted.join(texts, [key, "part"]).drop("part")
-
-
 def shared_spans(sites: Sites) -> DataFrame:
     """(rep_a, rep_b, start_a, start_b, length): the maximal runs of at least `length` characters that two different texts share.
 
@@ -346,7 +336,7 @@ def shared_spans(sites: Sites) -> DataFrame:
     every position in the other text. Runs are compared on the texts themselves.
     """
     pairs = cut(shared_pairs(sites))
-    texts = _with_text(_with_text(pairs, sites.reps, "a"), sites.reps, "b").select("rep_a", "rep_b", "text_a", "text_b")
+    texts = attach(attach(pairs, sites.reps, "a", "text"), sites.reps, "b", "text").select("rep_a", "rep_b", "text_a", "text_b")
     return texts.mapInArrow(_matcher(sites.length, sites.gram), "rep_a long, rep_b long, start_a int, start_b int, length int")
 
 

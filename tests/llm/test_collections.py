@@ -115,6 +115,7 @@ def test_salted_signatures_give_the_same_links(spark, monkeypatch):
     texts = {i: " ".join(edited(rng, vocabulary, base, 3)) for i in range(80)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, content string")
     monkeypatch.setattr(neardup, "SALT_ROWS", 7)
+    monkeypatch.setattr(neardup, "MOST_PARTNERS", 9)
     got = [tuple(r) for r in neardup.document_pairs(*neardup.near_duplicates(df, 0.6, 3, 8)).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_pairs(texts, 3, 8, 0.6)
 
@@ -135,15 +136,49 @@ def test_no_link_is_lost_by_signatures():
         known = np.unique(base[:60])
         out = neardup.signatures(sets, (known, np.full(len(known), 100)), similarity, least)
         sigs = defaultdict(set)
-        for k, s, o in zip(out["set"].tolist(), out["sig"].tolist(), out["own"].tolist(), strict=True):
-            sigs[k].add((s, o))
+        for k, s, o, p in zip(*(out[c].tolist() for c in ("set", "sig", "own", "pos")), strict=True):
+            sigs[k].add((s, o, p))
         sketches = np.unpackbits(np.stack([out["p0"], out["p1"]], axis=1).view(np.uint8), axis=1)
         for a, b in combinations(range(len(sets)), 2):
             both = len(np.intersect1d(sets[a], sets[b]))
             assert (sketches[a] != sketches[b]).sum() <= len(sets[a]) + len(sets[b]) - 2 * both
             if both / (len(sets[a]) + len(sets[b]) - both) >= similarity:
-                x, y = sigs[a], sigs[b]
-                assert any((s, not o) in y or (o and (s, o) in y) for s, o in x)
+                (_, small), (_, large) = sorted([(len(sets[a]), a), (len(sets[b]), b)])
+                own = {s: p for s, o, p in sigs[large] if o}
+                least_common = similarity / (1 + similarity) * (len(sets[a]) + len(sets[b])) - 1e-9
+                assert any(s in own and min(len(sets[small]) - p, len(sets[large]) - own[s]) >= least_common for s, _, p in sigs[small])
+
+
+def test_wide_sketches_reject_what_the_narrow_one_cannot():
+    rng = np.random.default_rng(5)
+    similarity, n = 0.6, 1998  # shingles of a text of 2,000 words
+    ends = neardup.bands(8, similarity)
+    upper = int(ends[np.searchsorted(ends, n, "right")])
+    most, rejected = (1 - similarity) / (1 + similarity) * 2 * n, 0
+    for trial in range(60):
+        both = int(n * (0.3 if trial % 3 else 0.8))
+        common = rng.integers(1, 1 << 62, both).astype(np.uint64)
+        a, b = (np.concatenate([common, rng.integers(1, 1 << 62, n - both).astype(np.uint64)]) for _ in range(2))
+        apart = int(np.bitwise_count(neardup.parity_sketch(a, upper) ^ neardup.parity_sketch(b, upper)).sum())
+        assert apart <= 2 * (n - both)
+        if trial % 3:
+            rejected += apart > most
+        else:
+            assert apart <= most
+    assert rejected >= 36
+
+
+def test_long_near_duplicates(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for k in range(12):
+        base = rng.choices(vocabulary, k=2000)
+        for v in range(4):
+            texts[k * 4 + v] = " ".join(edited(rng, vocabulary, base, v * 130))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, content string")
+    got = {tuple(r) for r in neardup.document_pairs(*neardup.near_duplicates(df, 0.6, 3, 8)).collect()}
+    assert got == brute_pairs(texts, 3, 8, 0.6) and got
 
 
 def brute_spans(texts, length):
@@ -242,7 +277,7 @@ def test_boilerplate_gives_shares_without_pairs(spark, monkeypatch):
     texts[500] = word(900)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     monkeypatch.setattr(spans, "MOST_PAIRS", 3_000)
-    monkeypatch.setattr(spans, "MOST_PARTNERS", 50)
+    monkeypatch.setattr(neardup, "MOST_PARTNERS", 50)
     sites = spans.anchor_sites(df)
     assert {r.doc_id: r.n_shared for r in spans.shared_shares(sites).collect()} == brute_shares(texts, 200)
     assert {tuple(r) for r in spans.shared_pairs(sites).collect()} == set(combinations(range(150), 2))
