@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import astuple, dataclass
@@ -13,19 +14,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvidex.frames import cut
+from corvidex.frames import cut, join_unique
 from corvidex.llm.chars import codepoints
 
 # Encodings a text may have been read with, and those it may have been written in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "iso8859-2", "iso8859-15", "cp1254", "cp852")
 WRITTEN_IN = ("cp1252", "cp1250", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "iso8859-2", "iso8859-5")
-ROUNDS = 3  # a text may have been read wrongly several times
-RAREST = 2e-6  # share of all pairs from which the model knows one: at most half a million pairs
+RAREST = 2e-6  # share of all pairs below which pairs are no more likely than this
+MOST_PAIRS = 500_000  # pairs that the model tells apart, the most frequent; others count as unknown
+SMOOTHING = 10  # occurrences at which a pair's information counts half
 MOST_KEPT = 200_000
+HOPE = 3.0  # nats by which a swap of a single word has to gain for the corpus's words to be asked
+KNOWN = 3  # distinct contents that have a restored word at least,
+TIMES = 4  # and how many times as many as have the damaged one
+SURE = 4  # multi-byte characters of UTF-8 in a run that chance does not make
 COMMON_MASS = 0.75  # of all pairs, those that make up this share are probable
 WORD = re.compile(r"(\s+)")
+LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 NOT_ASCII = re.compile("[^\x00-\x7f]+")
-LOST = "�"
+LOST = "\ufffd"
+LOST_INSIDE = re.compile(f"\\w{LOST}|{LOST}\\w")
 
 
 def pair_codes(chars: np.ndarray) -> np.ndarray:
@@ -53,14 +61,14 @@ def misread(cluster: str) -> bool:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of pairs but those at UTF-8 that was read wrongly: whatever its share, it never becomes probable."""
+    """Counts of pairs but those at lost characters and at UTF-8 that was read wrongly: whatever their share, they never become probable."""
     known: dict[str, bool] = {}
 
     def codes_of(text: str) -> np.ndarray:
         codes = pair_codes(codepoints(text))
         if text.isascii():
             return codes
-        kept = np.ones(len(codes), bool)
+        kept = (codes >> 21 != ord(LOST)) & (codes & 0x1FFFFF != ord(LOST))
         for m in NOT_ASCII.finditer(text):
             if len(m.group()) > 1:
                 if (bad := known.get(m.group())) is None:
@@ -111,25 +119,26 @@ class PairModel:
         return np.clip(self.level - self._of(pair_codes(codepoints(text)), self.gain, self.level - 4), -2, 4)
 
 
-def fit_pairs(texts: DataFrame) -> PairModel:
-    """Count the adjacent pairs of all distinct texts (one column). The driver gets pairs with a share of RAREST or more only."""
-    counts = cut(texts.where("content is not null").select("content").distinct().mapInArrow(_count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+def fit_pairs(contents: DataFrame) -> PairModel:
+    """Count the adjacent pairs of distinct contents (one column). The driver gets the MOST_PAIRS most frequent only."""
+    counts = cut(contents.mapInArrow(_count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    known = counts.where(F.col("n") >= max(total * RAREST, 2)).toPandas().sort_values("pair")
+    known = counts.where("n >= 3").orderBy(F.desc("n"), "pair").limit(MOST_PAIRS).toPandas().sort_values("pair")
     pairs, n = known["pair"].to_numpy(np.int64), known["n"].to_numpy(float)
+    floor = float(np.log(RAREST / 4))
     if not len(pairs):
-        return PairModel(pairs, n, n, 0.0, 0.0)
+        return PairModel(pairs, n, n, floor, 0.0)
     first, second = pairs >> 21, pairs & 0x1FFFFF
     a_values, a_at = np.unique(first, return_inverse=True)
     b_values, b_at = np.unique(second, return_inverse=True)
     a_share, b_share = np.bincount(a_at, n)[a_at] / total, np.bincount(b_at, n)[b_at] / total
     p = n / total
-    # What a pair adds to the corpus's mutual information. Pairs of wrongly decoded text are few, but go together
-    # almost always: without bounds on the information these would pass as probable.
-    information = np.clip(np.log(p / (a_share * b_share)), 0.5, 2.0)
+    # What a pair adds to the corpus's mutual information. That of rare pairs is held back: those of damaged text
+    # are few, but go together almost always. Pairs that repel each other add next to nothing.
+    information = np.maximum(np.log(p / (a_share * b_share)) * n / (n + SMOOTHING), 0.5)
     common = np.sort(p)[::-1]
     level = common[min(int(np.searchsorted(np.cumsum(common), COMMON_MASS)), len(p) - 1)]
-    return PairModel(pairs, np.log(p), np.log(p * information), float(np.log(max(RAREST, 2 / total) / 4)), float(np.log(level)))
+    return PairModel(pairs, np.maximum(np.log(p), np.log(RAREST)), np.log(p * information), floor, float(np.log(level)))
 
 
 def improbable_runs(surprise: np.ndarray) -> list[tuple[int, int]]:
@@ -198,6 +207,15 @@ def swap_tables() -> list[tuple[str, dict[int, int]]]:
     return tables
 
 
+def assigned(text: str) -> bool:
+    """Whether all characters are letters, marks, numbers, punctuation, symbols or spaces."""
+    return all(unicodedata.category(c)[0] in "LMNPSZ" or c in "\n\t" for c in text)
+
+
+def drawn_box(code: int) -> bool:
+    return 0x2500 <= code < 0x2600
+
+
 class Inverse:
     """Inverse mappings of runs under a pair model; what is found for a word or cluster is kept for the next one."""
 
@@ -207,16 +225,17 @@ class Inverse:
         self.words: dict[str, dict[int, tuple[float, str]]] = {}
         self.clusters: dict[str, dict[str, str]] = {}
         self.seen: dict[int, list[int]] = {}
+        self.changes: dict[tuple[int, ...], list[tuple[dict[int, int], list[int]]]] = {}
 
     def cluster(self, text: str) -> dict[str, str]:
-        """Of a cluster of non-ASCII characters, by encoding, the UTF-8 text its bytes are; only with known characters."""
+        """Of a cluster of non-ASCII characters, by encoding, the UTF-8 text its bytes are; only of assigned characters."""
         if (found := self.clusters.get(text)) is None:
             found = {}
             for read_as in READ_AS:
                 new = as_utf8(text, read_as)
                 if new is not None and misread(new) and (deeper := self.cluster(new)):  # read wrongly more than once
                     new = next(iter(deeper.values()))
-                if new is not None and self.model.chars.issuperset(new):
+                if new is not None and assigned(new):
                     found[read_as] = new
             if len(self.clusters) > MOST_KEPT:
                 self.clusters.clear()
@@ -229,29 +248,48 @@ class Inverse:
             found = self.seen[char] = [table.get(char, char) for _, table in self.swaps]
         return found
 
+    def choices(self, chars: tuple[int, ...]) -> list[tuple[dict[int, int], list[int]]]:
+        """(character to character, swaps) for each way in which swaps change these characters to plausible ones."""
+        if (found := self.changes.get(chars)) is None:
+            alike: dict[tuple[int, ...], list[int]] = {}
+            for k, images in enumerate(zip(*(self.images(c) for c in chars), strict=True)):
+                alike.setdefault(images, []).append(k)
+            found = [(dict(zip(chars, i, strict=True)), ks) for i, ks in alike.items() if i != chars and assigned("".join(map(chr, i))) and not any(map(drawn_box, i))]
+            if len(self.changes) > MOST_KEPT:
+                self.changes.clear()
+            self.changes[chars] = found
+        return found
+
     def word(self, text: str) -> dict[int, tuple[float, str]]:
         """Of a word, by swap, the gain and the new word where that is more probable."""
         if (found := self.words.get(text)) is None:
             before, found = sum(self.model.scores(f" {text} ")), {}
-            chars = sorted({ord(c) for c in text if c > "\x7f"})
-            alike: dict[tuple[int, ...], list[int]] = {}  # swaps that make the same of these characters
-            for k, images in enumerate(zip(*(self.images(c) for c in chars), strict=True)):
-                alike.setdefault(images, []).append(k)
-            for images, ks in alike.items():
-                if images != tuple(chars):
-                    new = text.translate(dict(zip(chars, images, strict=True)))
-                    gain = sum(self.model.scores(f" {new} ")) - before
-                    if gain > 0:
-                        found.update((k, (gain, new)) for k in ks)
+            for change, ks in self.choices(tuple(sorted({ord(c) for c in text if c > "\x7f"}))):
+                new = text.translate(change)
+                gain = sum(self.model.scores(f" {new} ")) - before
+                if gain > 0:
+                    found.update((k, (gain, new)) for k in ks)
             if len(self.words) > MOST_KEPT:
                 self.words.clear()
             self.words[text] = found
         return found
 
+    def hopes(self, run: str) -> set[tuple[str, str, str]]:
+        """(word, what a swap makes of it, swap): single words of a run to be judged by how often the corpus has either."""
+        found = set()
+        for w in {w for w in run.split() if len(w) > 2 and not w.isascii()}:
+            old = w.strip(string.punctuation)
+            for k, (gain, new) in self.word(w).items():
+                core = new.strip(string.punctuation)
+                if gain > HOPE and len(core) == len(old) > 2 and LETTERS.fullmatch(core) and not core.isascii():
+                    found.add((old, core, self.swaps[k][0]))
+        return found
+
     def restore(self, run: str) -> tuple[str, str] | None:
         """(restored run, mapping) if an inverse mapping makes the run clearly more probable, else None.
 
-        UTF-8 read as something else has to give characters and, for the most part, pairs that the corpus knows.
+        UTF-8 read as something else has to give pairs that the corpus knows for the most part, or as many multi-byte
+        characters as chance does not make, in nearly all clusters of the run: then the corpus need not know them.
         A swap of one-byte encodings has to improve half of the non-ASCII words of a stretch, by 1 nat a pair and
         12 nats in all.
         """
@@ -262,7 +300,11 @@ class Inverse:
             scores = self.model.scores(new)
             # Fewer characters mean fewer pairs: what is left over counts as a typical one each.
             gain = sum(scores) - 4.0 * (len(run) - len(new)) - sum(self.model.scores(run))
-            if gain > 1.0 and sum(x > self.model.floor for x in scores) >= 0.5 * len(scores) and (best is None or gain > best[0]):
+            likely = sum(x > self.model.floor for x in scores) >= 0.5 * len(scores)
+            whole = [f[read_as] for f in found if read_as in f]
+            likely = likely and all(map(self.model.chars.issuperset, whole))
+            sure = len(whole) >= 0.8 * len(found) and sum(c > "\x7f" for w in set(whole) for c in w) >= SURE
+            if gain > 1.0 and (likely or sure) and (best is None or gain > best[0]):
                 best = gain, new, f"utf-8 as {read_as}"
         if best is not None:
             return best[1], best[2]
@@ -310,12 +352,23 @@ def _widen(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def repair(text: str, inverse: Inverse) -> tuple[str, list[str]]:
-    """(text as far as it can be restored, the mappings found). `lost` is a replacement character beside a letter or digit."""
+@dataclass
+class Repaired:
+    """A text as far as it can be restored, the mappings found, and single words to be judged by the corpus.
+
+    A mapping `lost` is a replacement character beside a letter or digit.
+    """
+
+    text: str
+    kinds: list[str]
+    hopes: set[tuple[str, str, str]]
+
+
+def repair(text: str, inverse: Inverse) -> Repaired:
+    """Test inverse mappings in the improbable runs of a text, until no run changes any more."""
     kinds: list[str] = []
-    if any(LOST in m.group() for m in re.finditer(f"\\w{LOST}|{LOST}\\w", text)):
-        kinds.append("lost")
-    for _ in range(ROUNDS):
+    seen = {text}
+    while True:
         spans: list[list[int]] = []
         for a, b in improbable_runs(inverse.model.surprise(text)):
             if text[a : b + 1].isascii():
@@ -325,42 +378,98 @@ def repair(text: str, inverse: Inverse) -> tuple[str, list[str]]:
                 spans[-1][1] = max(end, spans[-1][1])
             else:
                 spans.append([start, end])
-        changed = False
+        before, hopes = text, set()
         for start, end in reversed(spans):
             low, high = max(0, start - 1), min(len(text), end + 1)  # with the spaces around it
-            if restored := inverse.restore(text[low:high]):
+            run = text[low:high]
+            if "lost" not in kinds and LOST in run and LOST_INSIDE.search(run):
+                kinds.append("lost")
+            if restored := inverse.restore(run):
                 text = text[:low] + restored[0] + text[high:]
                 kinds.append(restored[1])
-                changed = True
-        if not changed:
-            break
-    return text, kinds
+            else:
+                hopes |= inverse.hopes(run)
+        if text == before or text in seen:
+            return Repaired(text, kinds, hopes)
+        seen.add(text)
 
 
 def _repairer(model: object) -> Callable:
+    """(row, doc_id, content) to (row, doc_id, restored, mappings, hopes) of texts with mappings or hopes."""
+    kind = pa.list_(pa.struct([("word", pa.string()), ("new", pa.string()), ("how", pa.string())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inverse = Inverse(PairModel(*model.value))
         for batch in batches:
-            ids, texts, kinds = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new, found = repair(text, inverse)
-                if found:
-                    ids.append(doc)
-                    texts.append(new)
-                    kinds.append(sorted(set(found)))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))], names=["doc_id", "restored", "mappings"])
+            out: list[list] = [[] for _ in range(5)]
+            for row, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                r = repair(text, inverse)
+                if r.kinds or r.hopes:
+                    hopes = [dict(zip(("word", "new", "how"), h, strict=True)) for h in sorted(r.hopes)]
+                    for column, value in zip(out, (row, doc, r.text, sorted(set(r.kinds)), hopes), strict=True):
+                        column.append(value)
+            types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), kind]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["row", "doc_id", "restored", "mappings", "hopes"])
 
     return run
 
 
+def _replacer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, restored, mappings, swaps) to (doc_id, restored, mappings) with the swapped words in their places."""
+    for batch in batches:
+        texts, kinds = [], []
+        for text, before, swaps in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            new = {s["word"]: s["new"] for s in swaps}
+            parts = WORD.split(text)
+            for i, part in enumerate(parts):
+                if (core := part.strip(string.punctuation)) in new:
+                    parts[i] = part.replace(core, new[core])
+            texts.append("".join(parts))
+            kinds.append(sorted({*before, *(s["how"] for s in swaps)}))
+        yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))], names=["doc_id", "restored", "mappings"])
+
+
+def word_counts(contents: DataFrame) -> DataFrame:
+    """(word, n): words with other than ASCII characters and the number of contents (distinct) that have them.
+
+    A word is counted without the ASCII punctuation at its ends, and, if that is another one, without anything there but letters.
+    """
+    ends = r"!-/:-@\[-`{-~"
+    odd = F.filter(F.split("content", r"\s+"), lambda w: w.rlike(r"[^\x00-\x7F]"))
+    plain = F.transform(odd, lambda w: F.regexp_replace(w, rf"\A[{ends}]+|[{ends}]+\z", ""))
+    bare = F.transform(odd, lambda w: F.regexp_replace(w, r"\A[^\p{L}\p{M}]+|[^\p{L}\p{M}]+\z", ""))
+    return contents.select(F.explode(F.array_union(plain, bare)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def judged(hopes: DataFrame, counts: DataFrame) -> DataFrame:
+    """(word, new, how), one a word, of hopes (word, new, how): where many more contents have the new word than the old one."""
+    tried = hopes.groupBy("word", "new").agg(F.min("how").alias("how"))
+    new, old = counts.select(F.col("word").alias("new"), F.col("n").alias("n_new")), counts.withColumnRenamed("n", "n_old")
+    good = tried.join(new, "new").join(old, "word", "left").where((F.col("n_new") >= KNOWN) & (F.col("n_new") >= TIMES * F.coalesce("n_old", F.lit(1))))
+    return good.groupBy("word").agg(F.max(F.struct("n_new", "new", "how")).alias("best")).select("word", "best.new", "best.how")
+
+
 def wrongly_decoded(docs: DataFrame) -> DataFrame:
     """(doc_id, restored, mappings) of the documents (doc_id, content) with wrongly decoded parts.
 
-    Adjacent pairs are counted over all distinct contents, without those of UTF-8 read wrongly. Of a document's pairs, those that contribute little to the
-    corpus's mutual information form improbable runs (maximal-scoring segments); in these only, inverse mappings
-    are tested, and kept if they make the run clearly more probable. Characters lost to U+FFFD can't be restored
-    and stay. Null and empty contents, and those of ASCII only, are never cases.
+    Adjacent pairs are counted over all distinct contents, without those of UTF-8 read wrongly. Of a document's pairs,
+    those that contribute little to the corpus's mutual information form improbable runs (maximal-scoring segments);
+    in these only, inverse mappings are tested, and kept if they make the run clearly more probable. A swap of
+    one-byte encodings in a single word may be too short for that: it is kept if the corpus has the restored word in
+    many more distinct contents than the word as it stands. Characters lost to U+FFFD can't be restored and stay. Null
+    and empty contents, and those of ASCII only, are never cases.
     """
     text = docs.where("content is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "content")
-    model = docs.sparkSession.sparkContext.broadcast(astuple(fit_pairs(text.select("content"))))
-    return text.where(F.col("content").rlike("[^\\x00-\\x7F]")).mapInArrow(_repairer(model), "doc_id long, restored string, mappings array<string>")
+    contents = cut(text.select("content").distinct())
+    model = docs.sparkSession.sparkContext.broadcast(astuple(fit_pairs(contents)))
+    odd = F.col("content").rlike("[^\\x00-\\x7F]")
+    hope = "array<struct<word:string,new:string,how:string>>"
+    tested = text.where(odd).select(F.monotonically_increasing_id().alias("row"), "doc_id", "content")
+    first = cut(tested.mapInArrow(_repairer(model), f"row long, doc_id long, restored string, mappings array<string>, hopes {hope}"))
+    hopes = first.select("row", F.inline("hopes"))
+    swaps = cut(judged(hopes, word_counts(contents.where(odd))))
+    rows = hopes.select("row", "word").distinct()
+    sized = swaps.join(rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word")
+    found = join_unique(rows, sized, "word", "n").groupBy("row").agg(F.collect_list(F.struct("word", "new", "how")).alias("swaps"))
+    both = first.drop("hopes").join(found, "row", "left").where("swaps is not null or size(mappings) > 0").withColumn("swaps", F.coalesce("swaps", F.array().cast(hope)))
+    return both.select("doc_id", "restored", "mappings", "swaps").mapInArrow(_replacer, "doc_id long, restored string, mappings array<string>")

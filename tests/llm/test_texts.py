@@ -54,6 +54,49 @@ def test_wrong_encodings_are_found_and_restored(spark):
     assert mojibake.wrongly_decoded(df.limit(0)).count() == 0
 
 
+WORDS = [("cp1252", "cp1251"), ("cp1252", "mac_roman"), ("cp1252", "cp1250"), ("cp1250", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("mac_roman", "cp1252"), ("cp1251", "cp1252"), ("koi8-r", "cp1251"), ("utf-8", "cp1252")]
+
+
+def test_single_damaged_words_are_found(spark):
+    rng, clean = random.Random(11), corpus(5)
+    rows, want = list(enumerate(clean)), {}
+    for true, wrong in WORDS:
+        for k in (1, 3):
+            for _ in range(8):
+                while True:
+                    words = rng.choice(clean).split()
+                    odd = [i for i, w in enumerate(words) if len(w.strip(",.")) > 3 and not w.isascii() and w.strip(",.").isalpha()]
+                    shown = {}
+                    for i in odd:
+                        try:
+                            shown[i] = words[i].encode(true).decode(wrong)
+                        except UnicodeError:
+                            continue
+                    shown = {i: w for i, w in shown.items() if w != words[i]}
+                    if len({words[i] for i in shown}) >= k:
+                        break
+                text = " ".join(words)
+                for i in rng.sample(sorted(shown), k):
+                    words[i] = shown[i]
+                want[10_000 + len(want)] = text
+                rows.append((9_999 + len(want), " ".join(words)))
+    got = {r.doc_id: r.restored for r in mojibake.wrongly_decoded(spark.createDataFrame(rows, "doc_id long, content string")).collect()}
+    assert all(i >= 10_000 for i in got)
+    assert len(got) >= 0.9 * len(want)
+    assert sum(got[i] == want[i] for i in got) >= 0.8 * len(want)
+
+
+def test_misread_four_times_and_in_a_language_the_corpus_lacks(spark):
+    texts = corpus(6)
+    deep = texts[0]
+    for _ in range(4):
+        deep = deep.encode().decode("latin-1")
+    greek = "Η γρήγορη αλεπού πηδάει πάνω από τον τεμπέλη σκύλο κάθε πρωί."
+    rows = [*enumerate(texts), (5000, deep), (5001, greek.encode().decode("latin-1")), (5002, greek), (5003, "сад. Сад и сад, сад."), (5004, "“RÉSUMÉ”")]
+    got = {r.doc_id: r.restored for r in mojibake.wrongly_decoded(spark.createDataFrame(rows, "doc_id long, content string")).collect()}
+    assert got == {5000: texts[0], 5001: greek}
+
+
 def test_maximal_segments():
     rng = np.random.default_rng(1)
     for _ in range(200):
