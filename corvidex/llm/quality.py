@@ -17,32 +17,47 @@ LINE_ENDS = '.!?")'
 WORD_EDGES = ".,;:!?\"'()"
 STATES = ("prose", "list", "table", "junk")
 
-# A line is observed as one of 48 symbols: 3 bins of its words times four yes/no marks.
-# Prior of each state: shares of the bins (1-2, 3-7, 8 and more words), then of each mark
-# (ends like a sentence, starts like a list item, has cell separators, is mostly no letters).
-PRIOR = {
-    "prose": ((0.05, 0.25, 0.70), (0.90, 0.03, 0.02, 0.02)),
-    "list": ((0.35, 0.50, 0.15), (0.10, 0.80, 0.05, 0.05)),
-    "table": ((0.15, 0.50, 0.35), (0.05, 0.10, 0.85, 0.25)),
-    "junk": ((0.45, 0.30, 0.25), (0.10, 0.05, 0.10, 0.60)),
+VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýąęóœăîâаеёиоуыэюяіїєαεηιουωάέήίόύώ"
+LONG_TOKEN = 25
+
+# A line is observed by these features, independent of each other within a state. Of each, the shares of its values
+# in lines of prose, lists, tables and junk from which fitting starts.
+FEATURES = {
+    "words (1-2, 3-7, 8 and more)": ((0.05, 0.25, 0.70), (0.35, 0.50, 0.15), (0.15, 0.50, 0.35), (0.45, 0.30, 0.25)),
+    "ends like a sentence (no, yes)": ((0.10, 0.90), (0.90, 0.10), (0.95, 0.05), (0.90, 0.10)),
+    "starts like an item (no, yes)": ((0.97, 0.03), (0.20, 0.80), (0.90, 0.10), (0.95, 0.05)),
+    "has cell separators (no, yes)": ((0.98, 0.02), (0.95, 0.05), (0.15, 0.85), (0.90, 0.10)),
+    "share of letters (up to 0.5, 0.8, 1)": ((0.02, 0.18, 0.80), (0.10, 0.30, 0.60), (0.35, 0.45, 0.20), (0.50, 0.30, 0.20)),
+    "characters a word (under 2.5, 8, 12, more)": ((0.02, 0.93, 0.04, 0.01), (0.10, 0.75, 0.10, 0.05), (0.30, 0.60, 0.07, 0.03), (0.30, 0.20, 0.10, 0.40)),
+    "vowels of letters (under 0.25 or none for long, up to 0.6, more)": ((0.03, 0.94, 0.03), (0.15, 0.75, 0.10), (0.30, 0.60, 0.10), (0.55, 0.30, 0.15)),
+    "words repeat (no, yes)": ((0.92, 0.08), (0.90, 0.10), (0.75, 0.25), (0.50, 0.50)),
+    "has a very long word (no, yes)": ((0.99, 0.01), (0.97, 0.03), (0.97, 0.03), (0.75, 0.25)),
+    "share of common words (0, up to 0.15, more)": ((0.08, 0.17, 0.75), (0.60, 0.20, 0.20), (0.80, 0.10, 0.10), (0.90, 0.05, 0.05)),
 }
+SIZES = [len(x[0]) for x in FEATURES.values()]
+STEPS = [int(x) for x in np.cumprod([1, *SIZES])]
+N_SYMBOLS = STEPS[-1]
 STAY = 0.85
-N_SYMBOLS = 48
+START_DOCUMENTS = 50  # documents of each state that the start counts as: of no account in a corpus
+UNIT = 1_000_000  # what a document counts, over all its lines: whole numbers add up alike in any order
+MOST_ROUNDS = 30
+
+
+def values_of(symbols: np.ndarray) -> list[np.ndarray]:
+    """The value of each feature in lines' symbols."""
+    return [symbols // step % size for step, size in zip(STEPS, SIZES, strict=False)]
+
+
+def emissions(shares: list[np.ndarray]) -> np.ndarray:
+    """Of each state, the probability of each symbol, from each feature's shares of values (state, value)."""
+    return np.prod([f[:, v] for f, v in zip(shares, values_of(np.arange(N_SYMBOLS)), strict=True)], axis=0)
 
 
 def prior() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, transition and emission probabilities before any text is seen."""
-    emit = np.empty((len(STATES), N_SYMBOLS))
-    for k, name in enumerate(STATES):
-        bins, marks = PRIOR[name]
-        for symbol in range(N_SYMBOLS):
-            p = bins[symbol // 16]
-            for bit, share in enumerate(marks):
-                p *= share if symbol >> bit & 1 else 1 - share
-            emit[k, symbol] = p
     move = np.full((4, 4), (1 - STAY) / 3)
     np.fill_diagonal(move, STAY)
-    return np.full(4, 0.25), move, emit
+    return np.full(4, 0.25), move, emissions([np.array(x) for x in FEATURES.values()])
 
 
 def viterbi(lines: list[np.ndarray], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray]:
@@ -82,17 +97,22 @@ def _symbols(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def _counter(model: tuple) -> Callable:
+    """(symbols, n) to counts under the model: of states at the start, of moves, and of each feature's values."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, moves, emits = np.zeros(4, int), np.zeros((4, 4), int), np.zeros((4, N_SYMBOLS), int)
         for batch in batches:
             lines = _symbols(batch)
-            for symbols, path in zip(lines, viterbi(lines, model), strict=True):
+            for symbols, path, n in zip(lines, viterbi(lines, model), batch.column("n").to_pylist(), strict=True):
                 if len(path):
-                    starts[path[0]] += 1
-                    np.add.at(moves, (path[:-1], path[1:]), 1)
-                    np.add.at(emits, (path, symbols), 1)
-        flat = np.concatenate([starts, moves.ravel(), emits.ravel()])
-        yield pa.record_batch([pa.array(range(len(flat)), pa.int32()), pa.array(flat, pa.int64())], names=["cell", "n"])
+                    n = n * UNIT // len(path)
+                    starts[path[0]] += n
+                    np.add.at(moves, (path[:-1], path[1:]), n)
+                    np.add.at(emits, (path, symbols), n)
+        values = values_of(np.arange(N_SYMBOLS))
+        each = [np.stack([[e[v == x].sum() for x in range(size)] for e in emits]).ravel() for v, size in zip(values, SIZES, strict=True)]
+        flat = np.concatenate([starts, moves.ravel(), *each]).astype(np.int64)
+        yield pa.record_batch([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["cell", "n"])
 
     return run
 
@@ -110,39 +130,73 @@ def _labeller(model: tuple) -> Callable:
     return run
 
 
-def fit(symbols: DataFrame, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Viterbi training over all documents: label with the model so far, count, and meet the prior halfway, so that
-    states keep their meaning on any corpus. A task sends 212 numbers."""
-    model = first = prior()
-    for _ in range(rounds):
-        cells = dict(symbols.select("symbols").mapInArrow(_counter(model), "cell int, n long").groupBy("cell").agg(F.sum("n")).collect())
-        flat = np.array([cells.get(i, 0) for i in range(20 + 4 * N_SYMBOLS)], float)
-        seen = flat[:4], flat[4:20].reshape(4, 4), flat[20:].reshape(4, N_SYMBOLS)
-        weight = [np.maximum(s.sum(-1, keepdims=True), 1) for s in seen]
-        model = tuple((s / w + p) / (s / w + p).sum(-1, keepdims=True) for s, w, p in zip(seen, weight, first, strict=True))
-    return model
-
+def fit(symbols: DataFrame, most_rounds: int = MOST_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Viterbi training over all documents: label with the model so far and count, until the counts stay.
 
-def _line_symbol(line: Column) -> Column:
-    words = F.size(F.split(line, "[ \t\r]+"))
-    letters = F.length(F.regexp_replace(line, r"\P{L}+", ""))
-    yes = [
-        F.substring(line, -1, 1).isin(*LINE_ENDS),
-        line.rlike(r"\A(?:[-*•·–]|[0-9]{1,3}[.)]|[0-9]{1,3} -|[A-Za-z][.)])[ \t]"),
-        line.rlike(r"\||\t|\.{4,}| [·»>] "),
-        letters * 2 < F.length(F.regexp_replace(line, "[ \t]+", "")),
-    ]
-    bits = sum((F.when(y, F.lit(2**i)).otherwise(0) for i, y in enumerate(yes)), F.lit(0))
-    return F.when(words <= 2, 0).when(words <= 7, 16).otherwise(32) + bits
+    A document counts the same whatever its number of lines, the start as START_DOCUMENTS of each state, so that one without
+    lines keeps its meaning. Equal sequences of symbols are labelled once. A task sends 124 numbers.
+    """
+    sequences = cut(symbols.where("size(symbols) > 0").groupBy("symbols").agg(F.count(F.lit(1)).alias("n")))
+    model, before = prior(), None
+    start, move, _ = model
+    shares = [np.array(x) for x in FEATURES.values()]
+    edges = np.cumsum([20, *(4 * size for size in SIZES)])
+    for _ in range(most_rounds):
+        cells = dict(sequences.mapInArrow(_counter(model), "cell int, n long").groupBy("cell").agg(F.sum("n")).collect())
+        flat = np.array([cells.get(i, 0) for i in range(edges[-1])], float)
+        if before is not None and np.abs(flat - before).sum() <= 1e-3 * flat[edges[0] : edges[1]].sum():
+            break
+        before = flat
+        seen = [flat[:4], flat[4:20].reshape(4, 4), *(flat[a:b].reshape(4, -1) for a, b in zip(edges, edges[1:], strict=False))]
+        new = [s / UNIT + START_DOCUMENTS * p for s, p in zip(seen, [start, move, *shares], strict=True)]
+        new = [x / x.sum(-1, keepdims=True) for x in new]
+        model = new[0], new[1], emissions(new[2:])
+    return model
 
 
-def text_quality(docs: DataFrame, common: DataFrame, rounds: int = 2, most_words: int = 20_000) -> DataFrame:
+def _line(line: Column, known: Callable[[Column], Column]) -> Column:
+    """(symbol, hits) of a line: its features as one number, and how many of its words are known ones."""
+    words = F.filter(F.split(line, "[ \t\r]+"), lambda w: w != "")
+
+    def observed(w: Column) -> Column:
+        n, solid = F.size(w), F.length(F.translate(line, " \t\r", ""))
+        parts = F.struct(
+            n.alias("n"),
+            solid.alias("solid"),
+            F.length(F.regexp_replace(line, r"\P{L}+", "")).alias("letters"),
+            F.length(F.regexp_replace(F.lower(line), f"[^{VOWELS}]+", "")).alias("vowels"),
+            F.size(F.array_distinct(w)).alias("distinct"),
+            F.array_max(F.transform(w, lambda x: F.length(x))).alias("longest"),
+            F.size(F.filter(w, known)).alias("hits"),
+        )
+        return F.transform(F.array(parts), coded)[0]
+
+    def coded(p: Column) -> Column:
+        yes = lambda c: F.when(c, 1).otherwise(0)
+        values = [
+            F.when(p["n"] <= 2, 0).when(p["n"] <= 7, 1).otherwise(2),
+            yes(F.substring(line, -1, 1).isin(*LINE_ENDS)),
+            yes(line.rlike(r"\A(?:[-*•·–]|[0-9]{1,3}[.)]|[0-9]{1,3} -|[A-Za-z][.)])[ \t]")),
+            yes(line.rlike(r"\||\t|\.{4,}| [·»>] ")),
+            F.when(p["letters"] <= 0.5 * p["solid"], 0).when(p["letters"] <= 0.8 * p["solid"], 1).otherwise(2),
+            F.when(p["solid"] < 2.5 * p["n"], 0).when(p["solid"] < 8 * p["n"], 1).when(p["solid"] < 12 * p["n"], 2).otherwise(3),
+            F.when((p["vowels"] < 0.25 * p["letters"]) | (p["letters"] == 0), 0).when(p["vowels"] <= 0.6 * p["letters"], 1).otherwise(2),
+            yes(p["distinct"] < 0.7 * p["n"]),
+            yes(p["longest"] > LONG_TOKEN),
+            F.when(p["hits"] == 0, 0).when(p["hits"] <= 0.15 * p["n"], 1).otherwise(2),
+        ]
+        return F.struct(sum((v * step for v, step in zip(values, STEPS, strict=False)), F.lit(0)).cast("int").alias("symbol"), p["hits"].alias("hits"))
+
+    return F.transform(F.array(words), observed)[0]
+
+
+def text_quality(docs: DataFrame, common: DataFrame, most_words: int = 20_000) -> DataFrame:
     """One row a document with content (doc_id, content): statistics of its words and lines, and its label shares.
 
     Columns: doc_id, n_words, n_chars, mean_word, symbol_ratio, punct_share, common_share, <label>_share for
     each label. White space is space, tab, LF, CR. Ratios over nothing (no words, no lines) are null; documents
     with null content give no row. common has a column `word`; up to most_words distinct ones are compared
-    as a set within the scan, more are joined.
+    as a set within the scan, more are joined. Labels come from a hidden Markov model over lines (see FEATURES and fit).
     """
     text = docs.where("content is not null").select("doc_id", "content")
     plain = F.translate("content", SPACE, "")
@@ -151,23 +205,26 @@ def text_quality(docs: DataFrame, common: DataFrame, rounds: int = 2, most_words
     known = common.select("word").where("word is not null").distinct()
     listed = [r[0] for r in known.limit(most_words + 1).collect()]
     stripped = lambda w: F.btrim(F.lower(w), F.lit(WORD_EDGES))
-    if len(listed) <= most_words:
-        hits = F.size(F.filter(words, lambda w: stripped(w).isin(listed) if listed else F.lit(False)))
-    else:
-        found = text.select("doc_id", F.explode(F.transform(words, stripped)).alias("word")).join(broadcast_if_small(known), "word").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
-        text, hits = text.join(found, "doc_id", "left"), F.coalesce("hits", F.lit(0))
-    counted = text.select(
+    marked = lambda w: stripped(w).isin(listed) if listed else F.lit(False)
+    if len(listed) > most_words:
+        # Of each document, the known ones among its distinct words.
+        every = text.select("doc_id", F.explode(F.array_distinct(F.transform(words, stripped))).alias("word"))
+        found = every.join(broadcast_if_small(known), "word").groupBy("doc_id").agg(F.collect_list("word").alias("_known"))
+        text = text.join(found, "doc_id", "left")
+        marked = lambda w: F.coalesce(F.array_contains("_known", stripped(w)), F.lit(False))
+    observed = text.select("*", F.transform(lines, lambda x: _line(x, marked)).alias("_lines"))
+    counted = observed.select(
         "doc_id",
         F.size(words).alias("n_words"),
         F.length(plain).alias("n_chars"),
         (F.length("content") - F.length(F.translate("content", SYMBOLS, ""))).alias("n_symbols"),
         F.size(lines).alias("n_lines"),
         F.size(F.filter(lines, lambda x: F.substring(x, -1, 1).isin(*LINE_ENDS))).alias("n_ends"),
-        hits.alias("n_common"),
-        F.transform(lines, _line_symbol).alias("symbols"),
+        F.aggregate("_lines", F.lit(0), lambda total, x: total + x["hits"]).alias("n_common"),
+        F.transform("_lines", lambda x: x["symbol"]).alias("symbols"),
     )
     counted = cut(counted)
-    labelled = counted.mapInArrow(_labeller(fit(counted, rounds)), ", ".join(f"{n} {t}" for n, t in counted.dtypes if n != "symbols") + "".join(f", {s}_share double" for s in STATES))
+    labelled = counted.mapInArrow(_labeller(fit(counted)), ", ".join(f"{n} {t}" for n, t in counted.dtypes if n != "symbols") + "".join(f", {s}_share double" for s in STATES))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return labelled.select(
         "doc_id",

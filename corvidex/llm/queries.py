@@ -29,6 +29,10 @@ def _quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(_pages(spark, d), table(spark, d, "common_words"))
 
 
+def _p5_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _quality(spark, d).select("doc_id", "n_words", "n_chars", *[F.round(c, 6).alias(c) for c in ("mean_word", "symbol_ratio", "punct_share", "common_share")])
+
+
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return neardup.near_duplicates(_pages(spark, d), similarity=0.6, words=3, least=8)
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "p4_counts": _p4_counts,
     "p5_found": lambda s, d: quality.not_prose(_quality(s, d)),
     "p5_quality": _quality,
+    "p5_statistics": _p5_statistics,
     "p6_found": lambda s, d: neardup.document_pairs(*_near(s, d)),
     "p6_links": lambda s, d: _near(s, d)[0].select("rep_a", "rep_b", "shared", F.round("similarity", 6).alias("similarity")),
     "p6_members": lambda s, d: _members(*_near(s, d)),
@@ -160,6 +165,9 @@ ORACLES: dict[str, str] = {
     "p4_counts": f"with {_ALL} select word, occurrences, records, mark from marked",
     "p5_found": f"""with {_QUALITY}
         select doc_id from stats where n < 5 or c / n < 2.5 or c / n > 12 or symbols / c > 0.10 or n_ends < 0.5 * n_lines or n_common < 0.10 * n""",
+    "p5_statistics": f"""with {_QUALITY}
+        select doc_id, n as n_words, c as n_chars, round(c / nullif(n, 0), 6) as mean_word, round(symbols / nullif(c, 0), 6) as symbol_ratio, round(n_ends / nullif(n_lines, 0), 6) as punct_share, round(n_common / nullif(n, 0), 6) as common_share
+        from (select doc_id, n, cast(coalesce(c, 0) as integer) as c, symbols, n_lines, n_ends, n_common from stats)""",
     "p6_found": f"with {_SHINGLES} select doc_id_a, doc_id_b from pairs where shared / (n_a + n_b - shared) >= 0.6",
     "p6_links": f"""with {_SHINGLES}, sets as (select doc_id, list(g order by g) as s from kept group by doc_id), reps as (select min(doc_id) as rep from sets group by s)
         select doc_id_a as rep_a, doc_id_b as rep_b, cast(shared as integer) as shared, round(shared / (n_a + n_b - shared), 6) as similarity from pairs

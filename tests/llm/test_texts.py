@@ -149,6 +149,42 @@ def test_quality_statistics(spark):
     assert quality.text_quality(df.limit(0), common.limit(0)).count() == 0
 
 
+def test_lines_of_known_kinds_get_their_label(spark):
+    rng = random.Random(8)
+    words = sorted({w.strip(",.–“”") for t in PROSE for w in t.split()} - {""})
+    common = "the on is and but die und das el con una la o não é um na i w стоит и где et le du".split()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def prose():
+        return " ".join(w for _ in range(rng.randrange(5, 12)) for w in (rng.choice(words), rng.choice(common))).capitalize() + rng.choice(".!?")
+
+    def item():
+        return rng.choice(["- ", "* ", f"{rng.randrange(1, 30)}. "]) + " ".join(rng.choices(words, k=rng.randrange(1, 5)))
+
+    def row():
+        return " | ".join(rng.choice([str(rng.randrange(1000)), rng.choice(words)]) for _ in range(rng.randrange(3, 7)))
+
+    def junk():
+        return rng.choice([
+            lambda: "".join(rng.choices(words, k=9)),
+            lambda: " ".join(rng.choices(letters + "!.", k=30)),
+            lambda: " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randrange(3, 9))) for _ in range(8)),
+            lambda: "".join(rng.choices("#$%&*+/<=>@~0123456789 ", k=40)),
+        ])()
+
+    made = {"prose": prose, "list": item, "table": row, "junk": junk}
+    rows, kinds = [], {}
+    for i in range(800):
+        kind = rng.choices(list(made), [5, 1, 1, 1])[0]
+        kinds[i] = kind
+        rows.append((i, "\n".join(made[kind]() for _ in range(rng.randrange(1, 6)))))
+    got = quality.text_quality(spark.createDataFrame(rows, "doc_id long, content string"), spark.createDataFrame([(w,) for w in common], "word string")).collect()
+    right = {k: [] for k in made}
+    for r in got:
+        right[kinds[r.doc_id]].append(r[f"{kinds[r.doc_id]}_share"])
+    assert all(np.mean(x) >= 0.9 for x in right.values()), {k: np.mean(x) for k, x in right.items()}
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
