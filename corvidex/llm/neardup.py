@@ -15,14 +15,34 @@ from corvidex.frames import broadcast_if_small, cut, join_unique
 
 TOKEN = re.compile("[0-9A-Za-z]+")
 MOST_HOT = 200_000  # frequent shingles known to every task; the others only lose their place in the order
+MOST_KEPT = 200_000
 SALT_ROWS = 2_000
 MOST_PARTNERS = 5_000  # rows that one copy of a set or text meets
 
 
+_token_hashes: dict[str, int] = {}
+
+
+def token_hash(token: str) -> int:
+    """Of a token, case put aside; what was met is kept, up to MOST_KEPT."""
+    if (h := _token_hashes.get(token)) is None:
+        if len(_token_hashes) > MOST_KEPT:
+            _token_hashes.clear()
+        h = _token_hashes[token] = xxhash.xxh64_intdigest(token.lower())
+    return h
+
+
 def shingles(text: str, words: int) -> np.ndarray:
     """The distinct 64-bit hashes of all runs of `words` lower-case tokens, sorted."""
-    tokens = [t.lower() for t in TOKEN.findall(text)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest("\x1f".join(tokens[i : i + words])) for i in range(len(tokens) - words + 1)), np.uint64))
+    tokens = np.fromiter(map(token_hash, TOKEN.findall(text)), np.uint64)
+    n = len(tokens) - words + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        out = np.zeros(n, np.uint64)
+        for k in range(words):
+            out = mix(out + tokens[k : k + n], k + 1)
+    return np.unique(out)
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -127,13 +147,16 @@ def signatures(sets: list[np.ndarray], hot: tuple[np.ndarray, np.ndarray], simil
     return result | {"p0": sketch[:, 0].copy(), "p1": sketch[:, 1].copy(), "n": sizes, "band": band}
 
 
-def parity_sketch(members: np.ndarray, upper: int) -> np.ndarray:
-    """Parities of the members' hashes in 4 bits for each of `upper` members, as words of 64 bits. Sets of one band compare."""
-    words = -(-4 * upper // 64)
-    bit = mix(members, 0x0DD) % np.uint64(64 * words)
-    out = np.zeros(words, np.uint64)
-    np.bitwise_xor.at(out, (bit >> np.uint64(6)).astype(int), np.uint64(1) << (bit & np.uint64(63)))
-    return out
+def parity_sketches(sets: list[np.ndarray], upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of 64 bits of all sets one after another, number of words of each): parities of the members' hashes.
+
+    There are 4 bits for each of a set's `upper` members; sets with the same `upper` compare.
+    """
+    sizes, words = np.array([len(s) for s in sets], int), -(-4 * upper // 64)
+    bit = mix(np.concatenate(sets), 0x0DD) % np.repeat(64 * words, sizes).astype(np.uint64)
+    out = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(out, np.repeat(np.cumsum(words) - words, sizes) + (bit >> np.uint64(6)).astype(int), np.uint64(1) << (bit & np.uint64(63)))
+    return out, words
 
 
 def _sets_of(lists: pa.ListArray) -> list[np.ndarray]:
@@ -162,20 +185,34 @@ def _wide_sketcher(similarity: float, least: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = bands(least, similarity)
-        for batch in batches:
-            reps, labels, words = [], [], []
-            for rep, members in zip(batch.column(0).to_pylist(), _sets_of(batch.column(1)), strict=True):
-                band = int(np.searchsorted(ends, len(members), "right")) - 1
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                sets = _sets_of(batch.column(1))
+                band = np.searchsorted(ends, [len(s) for s in sets], "right") - 1
                 for label in (band, band + 1):
-                    reps.append(rep)
-                    labels.append(label)
-                    words.append(parity_sketch(members, int(ends[label + 1])).view(np.int64))
-            sizes = np.cumsum([0, *map(len, words)]).astype(np.int32)
-            yield pa.record_batch([pa.array(reps, pa.int64()), pa.array(labels, pa.int32()), pa.ListArray.from_arrays(sizes, np.concatenate(words) if words else np.empty(0, np.int64))], names=["rep", "band", "words"])
+                    words, sizes = parity_sketches(sets, ends[label + 1])
+                    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), words.view(np.int64))
+                    yield pa.record_batch([batch.column(0), pa.array(label.astype(np.int32)), lists], names=["rep", "band", "words"])
 
     return run
 
 
+def attach(pairs: DataFrame, table: DataFrame, side: str, column: str, *also: str) -> DataFrame:
+    """pairs (rep_a, rep_b, ...) with column of the table's row for rep_<side> (and the same `also`), as <column>_<side>.
+
+    A row with very many partners stands in several tasks.
+    """
+    key = f"rep_{side}"
+    counts = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_PARTNERS)
+    parts = broadcast_if_small(counts.select(key, F.ceil(F.col("n") / MOST_PARTNERS).cast("int").alias("parts")))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep_a", "rep_b"), F.col("parts").cast("long")).cast("int"))
+    salted = pairs.join(parts, key, "left").withColumn("part", part).drop("parts")
+    rows = table.select(F.col("rep").alias(key), F.col(column).alias(f"{column}_{side}"), *also).join(parts, key, "left")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return salted.join(rows, [key, "part", *also]).drop("part")
+
+
 def attach(pairs: DataFrame, table: DataFrame, side: str, column: str, *also: str) -> DataFrame:
     """pairs (rep_a, rep_b, ...) with column of the table's row for rep_<side> (and the same `also`), as <column>_<side>.
 
@@ -244,11 +281,16 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, le
     candidates = cut(met.where(near).select("rep_a", "rep_b", band.alias("band"), (part * (n_a + n_b) + 1e-9).alias("most")).distinct())
 
     # Sketches as wide as the sets come once for each candidate, shingles for what these leave.
-    wide = cut(reps.mapInArrow(_wide_sketcher(similarity, floor), "rep long, band int, words array<long>"))
+    def of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct()
+        return cut(reps.join(broadcast_if_small(ends), "rep", "left_semi"))
+
+    wide = cut(of(candidates).mapInArrow(_wide_sketcher(similarity, floor), "rep long, band int, words array<long>"))
     compared = attach(attach(candidates, wide, "a", "words", "band"), wide, "b", "words", "band")
     differ = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     close = cut(compared.where(differ <= F.col("most")).select("rep_a", "rep_b"))
-    both = attach(attach(close, reps, "a", "shingles"), reps, "b", "shingles")
+    left = of(close)
+    both = attach(attach(close, left, "a", "shingles"), left, "b", "shingles")
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
     verified = both.select("rep_a", "rep_b", shared.alias("shared"), (F.size("shingles_a") + F.size("shingles_b")).alias("both"))
     links = verified.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), "shared", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity"))
