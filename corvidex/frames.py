@@ -147,20 +147,6 @@ def join_unique(facts: DataFrame, dim: DataFrame, key: str, weight: str, share:
     return facts.where(is_hot).join(F.broadcast(dim.where(is_hot)), key).unionByName(facts.where(~is_hot).join(dim.where(~is_hot), key, how))
 
 
-def join_salted(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, salt_by: str, most: int = 200_000) -> DataFrame:
-    """Inner join by key of sides that both repeat keys. counts has (key, n_left, n_right) for the keys of interest.
-
-    A key whose joined rows exceed `most` is split: its rows of left by a hash of their column salt_by, its rows of
-    right repeated for each part, so that no task joins more than about `most` rows of a key.
-    """
-    parts = F.ceil(F.col("n_left") * F.col("n_right") / most).cast("int")
-    hot = broadcast_if_small(counts.select(key, F.least(F.col("n_left"), parts).cast("int").alias("_parts")).where("_parts > 1"))
-    salt = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(salt_by), F.col("_parts").cast("long")).cast("int"))
-    every = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
-    salted = left.join(hot, key, "left").withColumn("_salt", salt).drop("_parts")
-    return salted.join(right.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_parts"), [key, "_salt"]).drop("_salt")
-
-
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """df with the number of each row by order (unique), from 1; the driver gets one number a partition."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvidex.frames import broadcast_if_small, cut, join_salted, join_unique
+from corvidex.frames import broadcast_if_small, cut, join_unique
 from corvidex.functions.scoring import dequantize
 from corvidex.functions.text import query_terms, terms_of
 from corvidex.operators.index import Index
 
 K = 20
 LEAD = 50  # documents, for each of the k, whose scores set the first bar of a batch query
+MOST_WHOLE = 50_000_000  # rows of all terms, lists times queries: few enough to add up without a bar
+MOST_JOINED = 1_000_000  # rows of one term, list times queries, in one task
 EXACT = 1e-6  # scores are compared to 6 decimals
 
 
@@ -81,55 +83,67 @@ def batch_terms(queries: DataFrame) -> DataFrame:
 def search_batch(index: Index, queries: DataFrame, mode: str = "or", k: int = K) -> DataFrame:
     """(item, rank, doc_id, score): search_index for each query (item, text; items are unique) in one plan.
 
-    Lists are not joined whole with every query that has their term. An `and` query starts from the documents of
+    Lists are joined whole with the queries that have their term only if that gives at most MOST_WHOLE rows in all, and
+    either way the rows are the same. Else an `and` query starts from the documents of
     its rarest term. An `or` query takes its terms by their greatest score; those that reach LEAD * k documents
     give a k-th score that the result can't fall below. A document that has only terms whose greatest scores add
     up to less is out, so the lists of these are met by (term, doc_id) with documents found by the others, and of
     those only with the ones that may still get over the bar. Terms with many documents and queries are split.
     """
     batch = batch_terms(queries)
-    counts = batch.groupBy("term").agg(F.count(F.lit(1)).alias("n_right"))
-    known = index.lexicon.join(counts, "term").select("term", "n_right", F.col("df").alias("n_left"), dequantize(F.col("max_q")).alias("most"))
-    wanted = join_unique(batch, known, "term", "n_right")
+    counts = batch.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.greatest(F.lit(1), F.least(F.col("df"), F.ceil(F.col("df") * F.col("n") / MOST_JOINED))).cast("int")
+    known = cut(index.lexicon.join(counts, "term").select("term", "n", "df", dequantize(F.col("max_q")).alias("most"), parts.alias("parts")))
+    whole = (known.agg(F.sum(F.col("df") * F.col("n"))).first()[0] or 0) <= MOST_WHOLE
+    wanted = join_unique(batch, known, "term", "n")
+    item = Window.partitionBy("item")
+    best = item.orderBy(F.desc("score"), "doc_id")
     if _mode(mode) == "and":
-        item = Window.partitionBy("item")
         wanted = wanted.withColumn("known", F.count(F.lit(1)).over(item)).where("known = n_terms")
-        wanted = cut(wanted.withColumn("first", F.row_number().over(item.orderBy("n_left", "term")) == 1))
+        wanted = wanted.withColumn("first", F.row_number().over(item.orderBy("df", "term")) == 1)
     else:
-        order = Window.partitionBy("item").orderBy(F.desc("most"), "n_left", "term")
+        order = item.orderBy(F.desc("most"), "df", "term")
         rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
         ahead = order.rowsBetween(Window.unboundedPreceding, -1)
-        wanted = cut(wanted.select("*", F.sum("most").over(rest).alias("rest"), F.coalesce(F.sum("n_left").over(ahead), F.lit(0)).alias("ahead")))
+        wanted = wanted.select("*", F.sum("most").over(rest).alias("rest"), F.coalesce(F.sum("df").over(ahead), F.lit(0)).alias("ahead"))
+    wanted = cut(wanted.drop("n", "most"))
     scores = byte_scores(index.postings)
+    hot = broadcast_if_small(known.where("parts > 1").select("term", "parts"))
+    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("long")).cast("int"))
+    salted = scores.join(hot, "term", "left").select("term", "doc_id", "score", salt.alias("salt"))
 
     def matches(terms: DataFrame) -> DataFrame:
-        """(item, doc_id, score, n) over these rows of wanted."""
-        sizes = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_right"), F.max("n_left").alias("n_left"))
-        met = join_salted(scores, terms.select("item", "term"), "term", sizes, "doc_id")
+        """(item, doc_id, score, n) over these rows of wanted; the list of a hot term is split, its queries are repeated."""
+        met = salted.join(terms.select("item", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")), ["term", "salt"])
         return met.groupBy("item", "doc_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
 
-    best = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
-    if mode == "and":
+    if whole:
+        others, found = wanted.where("false"), matches(wanted)
+    elif mode == "and":
         others, found = wanted.where("not first"), matches(wanted.where("first"))
     else:
         lead = matches(wanted.where(F.col("ahead") < LEAD * k))
         bar = lead.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("item", F.col("score").alias("bar"))
-        wanted = wanted.join(broadcast_if_small(bar), "item", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)) - EXACT)
-        wanted = cut(wanted)
+        wanted = cut(wanted.join(bar, "item", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)) - EXACT))
         others, found = wanted.where("rest < bar"), matches(wanted.where("rest >= bar"))
-        open_ = wanted.groupBy("item").agg(F.max("bar").alias("bar"), F.coalesce(F.max(F.when(F.col("rest") < F.col("bar"), F.col("rest"))), F.lit(0.0)).alias("rest"))
-        found = found.join(broadcast_if_small(open_), "item").where("score + rest >= bar").drop("bar", "rest")
-    found = cut(found)
-    pairs = found.select("item", "doc_id").join(broadcast_if_small(others.select("item", "term")), "item")
-    lists = scores.join(broadcast_if_small(others.select("term").distinct()), "term")
-    more = pairs.join(lists, ["term", "doc_id"]).select("item", "doc_id", "score", F.lit(1).cast("long").alias("n"))
-    total = found.unionByName(more).groupBy("item", "doc_id").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
+        # What the other terms can add at most, and the bar.
+        limit = wanted.groupBy("item").agg(F.max("bar").alias("bar"), F.coalesce(F.max(F.when(F.col("rest") < F.col("bar"), F.col("rest"))), F.lit(0.0)).alias("rest"))
+        found = found.join(limit, "item").where("score + rest >= bar").drop("bar", "rest")
+    total = found if whole else _completed(cut(found), others, scores)
     if mode == "and":
-        total = total.join(broadcast_if_small(wanted.where("first").select("item", "n_terms")), "item").where("n = n_terms")
+        total = total.join(wanted.where("first").select("item", "n_terms"), "item").where("n = n_terms")
     rounded = total.select("item", "doc_id", F.round("score", 6).alias("score"))
     return rounded.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item", "rank", "doc_id", "score")
 
 
+def _completed(found: DataFrame, others: DataFrame, scores: DataFrame) -> DataFrame:
+    """found (item, doc_id, score, n) with what the other terms of the items add to these documents."""
+    lists = scores.join(broadcast_if_small(others.select("term").distinct()), "term", "left_semi")
+    more = found.select("item", "doc_id").join(others.select("item", "term"), "item").join(lists, ["term", "doc_id"])
+    every = found.unionByName(more.select("item", "doc_id", "score", F.lit(1).cast("long").alias("n")))
+    return every.groupBy("item", "doc_id").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
+
+
 def next_geq(postings: DataFrame, terms: list[str], targets: list[int]) -> DataFrame:
     """(term, target, doc_id): the first document of the term from target on, -1 if there is none. One pass for all targets."""
     firsts = [F.struct(F.lit(t).cast("long").alias("target"), F.min(F.when(F.col("doc_id") >= t, F.col("doc_id"))).alias("doc_id")) for t in targets]

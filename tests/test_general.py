@@ -115,14 +115,6 @@ def test_scratch_removes_what_was_cut(spark):
     assert outside.count() == 3
 
 
-def test_join_salted(spark):
-    left = spark.createDataFrame([("hot" if i % 2 else f"k{i % 7}", i) for i in range(400)], "k string, x long")
-    right = spark.createDataFrame([("hot" if i % 3 else f"k{i % 9}", i) for i in range(90)], "k string, y long")
-    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n_left")).join(right.groupBy("k").agg(F.count(F.lit(1)).alias("n_right")), "k")
-    got = sorted(map(tuple, frames.join_salted(left, right, "k", counts, "x", most=50).select("k", "x", "y").collect()))
-    assert got == sorted(map(tuple, left.join(right, "k").select("k", "x", "y").collect()))
-
-
 def test_numbered(spark):
     got = frames.numbered(spark.range(3000).select((F.col("id") * 7919 % 3001).alias("v")), "n", "v").collect()
     assert [r.n for r in sorted(got, key=lambda r: r.v)] == list(range(1, 3001))

@@ -161,17 +161,16 @@ def test_rejected_queries():
     assert [search.rejected(q) for q in (None, "", " \t", "..", "é", "a..")] == ["empty", "empty", "empty", "no terms", "no terms", None]
 
 
-@pytest.mark.parametrize("lead", [1, 50])
-def test_batches_equal_single_searches(spark, tmp_path, monkeypatch, lead):
-    from corvidex import frames
-
+@pytest.mark.parametrize(("lead", "whole"), [(1, 0), (50, 0), (50, 10**9)])
+def test_batches_equal_single_searches(spark, tmp_path, monkeypatch, lead, whole):
     rng = random.Random(lead)
     words = [f"w{i}" for i in range(40)]
     texts = [" ".join(rng.choices(words, [40 / (i + 1) for i in range(40)], k=rng.randrange(25))) for _ in range(300)]
     index.write_index(docs(spark, texts), str(tmp_path))
     opened = index.open_index(spark, str(tmp_path))
     monkeypatch.setattr(search, "LEAD", lead)
-    monkeypatch.setattr(search, "join_salted", lambda *a: frames.join_salted(*a, most=200))
+    monkeypatch.setattr(search, "MOST_JOINED", 200)
+    monkeypatch.setattr(search, "MOST_WHOLE", whole)
     asked = {f"q{i}": " ".join(rng.sample(words, rng.randrange(1, 9))) for i in range(12)} | {"own": texts[5], "none": "..", "missing": "w1 zz", "gone": "zz"}
     batch = spark.createDataFrame([*asked.items(), ("null", None)], "item string, text string")
     for mode in ("or", "and"):
