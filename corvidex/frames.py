@@ -122,12 +122,16 @@ def bounded(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
+def is_small(df: DataFrame, most_mb: int = 8) -> bool:
+    """Whether the rows of df, a written table, take at most most_mb."""
+    widths = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) + 16 if kind in ("string", "binary") else F.lit(16) for c, kind in df.dtypes]
+    return (df.agg(F.sum(sum(widths[1:], widths[0]).cast("long"))).first()[0] or 0) <= most_mb * 1_000_000
+
+
 def broadcast_if_small(df: DataFrame, most_mb: int = 8) -> DataFrame:
     """df, written once and measured, with a broadcast hint if its rows take at most most_mb; else unhinted for a shuffled join."""
     df = cut(df)
-    widths = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) + 16 if kind in ("string", "binary") else F.lit(16) for c, kind in df.dtypes]
-    size = df.agg(F.sum(sum(widths[1:], widths[0]).cast("long"))).first()[0] or 0
-    return F.broadcast(df) if size <= most_mb * 1_000_000 else df
+    return F.broadcast(df) if is_small(df, most_mb) else df
 
 
 def join_unique(facts: DataFrame, dim: DataFrame, key: str, weight: str, share: float = 1 / 500, how: str = "inner") -> DataFrame:

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvidex.frames import broadcast_if_small, cut, join_unique
+from corvidex.frames import broadcast_if_small, cut, is_small, join_unique, numbered
 from corvidex.functions.scoring import dequantize
 from corvidex.functions.text import query_terms, terms_of
+from corvidex.operators.blocks import best_in_blocks
 from corvidex.operators.index import Index
 
 K = 20
-LEAD = 50  # documents, for each of the k, whose scores set the first bar of a batch query
+LEAD = 50  # documents of a block, for each of the k, whose scores set the first bar of a batch query
 MOST_WHOLE = 50_000_000  # rows of all terms, lists times queries: few enough to add up without a bar
 MOST_JOINED = 1_000_000  # rows of one term, list times queries, in one task
-EXACT = 1e-6  # scores are compared to 6 decimals
+BLOCK_POSTINGS = 2_000_000  # of the documents that a task scores at once
 
 
 def _mode(mode: str) -> str:
@@ -85,28 +86,23 @@ def search_batch(index: Index, queries: DataFrame, mode: str = "or", k: int = K)
 
     Lists are joined whole with the queries that have their term only if that gives at most MOST_WHOLE rows in all, and
     either way the rows are the same. Else an `and` query starts from the documents of
-    its rarest term. An `or` query takes its terms by their greatest score; those that reach LEAD * k documents
-    give a k-th score that the result can't fall below. A document that has only terms whose greatest scores add
-    up to less is out, so the lists of these are met by (term, doc_id) with documents found by the others, and of
-    those only with the ones that may still get over the bar. Terms with many documents and queries are split.
+    its rarest term, and `or` queries are scored in blocks of documents, of which only the k best of each query
+    are shuffled. Terms with many documents and queries are split.
     """
+    _mode(mode)
     batch = batch_terms(queries)
     counts = batch.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     parts = F.greatest(F.lit(1), F.least(F.col("df"), F.ceil(F.col("df") * F.col("n") / MOST_JOINED))).cast("int")
-    known = cut(index.lexicon.join(counts, "term").select("term", "n", "df", dequantize(F.col("max_q")).alias("most"), parts.alias("parts")))
+    known = cut(index.lexicon.join(counts, "term").select("term", "n", "df", parts.alias("parts")))
     whole = (known.agg(F.sum(F.col("df") * F.col("n"))).first()[0] or 0) <= MOST_WHOLE
+    if mode == "or" and not whole:
+        return _search_blocks(index, batch, known.drop("parts"), k)
     wanted = join_unique(batch, known, "term", "n")
     item = Window.partitionBy("item")
-    best = item.orderBy(F.desc("score"), "doc_id")
-    if _mode(mode) == "and":
+    if mode == "and":
         wanted = wanted.withColumn("known", F.count(F.lit(1)).over(item)).where("known = n_terms")
         wanted = wanted.withColumn("first", F.row_number().over(item.orderBy("df", "term")) == 1)
-    else:
-        order = item.orderBy(F.desc("most"), "df", "term")
-        rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        ahead = order.rowsBetween(Window.unboundedPreceding, -1)
-        wanted = wanted.select("*", F.sum("most").over(rest).alias("rest"), F.coalesce(F.sum("df").over(ahead), F.lit(0)).alias("ahead"))
-    wanted = cut(wanted.drop("n", "most"))
+    wanted = cut(wanted.drop("n"))
     scores = byte_scores(index.postings)
     hot = broadcast_if_small(known.where("parts > 1").select("term", "parts"))
     salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("long")).cast("int"))
@@ -117,23 +113,29 @@ def search_batch(index: Index, queries: DataFrame, mode: str = "or", k: int = K)
         met = salted.join(terms.select("item", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")), ["term", "salt"])
         return met.groupBy("item", "doc_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
 
-    if whole:
-        others, found = wanted.where("false"), matches(wanted)
-    elif mode == "and":
-        others, found = wanted.where("not first"), matches(wanted.where("first"))
-    else:
-        lead = matches(wanted.where(F.col("ahead") < LEAD * k))
-        bar = lead.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("item", F.col("score").alias("bar"))
-        wanted = cut(wanted.join(bar, "item", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)) - EXACT))
-        others, found = wanted.where("rest < bar"), matches(wanted.where("rest >= bar"))
-        # What the other terms can add at most, and the bar.
-        limit = wanted.groupBy("item").agg(F.max("bar").alias("bar"), F.coalesce(F.max(F.when(F.col("rest") < F.col("bar"), F.col("rest"))), F.lit(0.0)).alias("rest"))
-        found = found.join(limit, "item").where("score + rest >= bar").drop("bar", "rest")
-    total = found if whole else _completed(cut(found), others, scores)
+    total = matches(wanted) if whole else _completed(cut(matches(wanted.where("first"))), wanted.where("not first"), scores)
     if mode == "and":
         total = total.join(wanted.where("first").select("item", "n_terms"), "item").where("n = n_terms")
-    rounded = total.select("item", "doc_id", F.round("score", 6).alias("score"))
-    return rounded.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item", "rank", "doc_id", "score")
+    return _ranked(total.select("item", "doc_id", F.round("score", 6).alias("score")), "item", k)
+
+
+def _ranked(scored: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, rank, doc_id, score): the k best rows of each key."""
+    best = Window.partitionBy(key).orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(key, "rank", "doc_id", "score")
+
+
+def _search_blocks(index: Index, batch: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """search_batch by `or`: batch as of batch_terms, known (term, n, df) the terms of the lexicon that it has, by n queries."""
+    lists = cut(numbered(known, "no", "term").withColumn("no", F.col("no").cast("int")))
+    n_postings = lists.agg(F.sum("df")).first()[0] or 0
+    n_blocks = max(index.postings.sparkSession.sparkContext.defaultParallelism, -(-n_postings // BLOCK_POSTINGS))
+    asked = join_unique(batch, lists, "term", "n").groupBy("item").agg(F.array_sort(F.collect_list("no")).alias("terms"))
+    asked = cut(asked.withColumn("query", F.monotonically_increasing_id()))
+    numbers = lists.select("term", "no", "df")
+    found = index.postings.join(F.broadcast(numbers), "term") if is_small(numbers) else join_unique(index.postings, numbers, "term", "df")
+    best = best_in_blocks(found.select("no", "doc_id", "q"), asked.select("query", "terms"), n_blocks, k, LEAD * k)
+    return _ranked(best, "query", k).join(asked.select("query", "item"), "query").select("item", "rank", "doc_id", "score")
 
 
 def _completed(found: DataFrame, others: DataFrame, scores: DataFrame) -> DataFrame:

@@ -5,12 +5,14 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corvidex.frames import positions, running_sum
 from corvidex.functions import codec, scoring, text
-from corvidex.operators import corpus, index, search
+from corvidex.operators import blocks, corpus, index, search
 from corvidex.sources import documents
 
 
@@ -246,3 +248,43 @@ def test_and_is_part_of_or_whatever_the_order_of_rows(spark):
     assert found["plain"] == found["shuffled"]
     either = {r[1]: r[2] for r in found["plain"]["or"]}
     assert all(either[r[1]] == r[2] for r in found["plain"]["and"])
+
+
+def test_large_batches_shuffle_no_pairs_of_query_and_document(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, k=25)) for _ in range(1500)]
+    index.write_index(docs(spark, texts), str(tmp_path))
+    opened = index.open_index(spark, str(tmp_path))
+    monkeypatch.setattr(search, "MOST_WHOLE", 0)
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def shuffled(after):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        stages = [stages.apply(i) for i in range(stages.size())]
+        return max(s.stageId() for s in stages), sum(s.shuffleWriteRecords() for s in stages if s.stageId() > after)
+
+    last, _ = shuffled(-1)
+    batch = spark.createDataFrame(list(enumerate(texts[:200])), "item int, text string")
+    assert len(search.search_batch(opened, batch, "or", 5).collect()) == 1000
+    assert shuffled(last)[1] < 200 * 1500 / 2
+
+
+@pytest.mark.parametrize("lead", [1, 5, 30, 1000])
+def test_blocks_give_the_k_best_with_ties_and_zeros(lead):
+    rng = random.Random(lead)
+    lists = {n: {d: rng.choice([0, 0, 3, 3, 90]) * (n % 4 > 0) for d in rng.sample(range(700, 1000), rng.choice([1, 9, 200]))} for n in range(1, 40)}
+    rows = [(n, d, q) for n, own in lists.items() for d, q in own.items()]
+    block = blocks.Block(*(np.array(x) for x in zip(*rows, strict=True)))
+    asked = [rng.sample(range(1, 50), rng.randrange(1, 9)) for _ in range(60)] + [[], [4], [4, 8, 3], [45]]
+    queries = pa.record_batch({"id": pa.array(range(len(asked)), pa.int64()), "terms": pa.array(asked, pa.list_(pa.int32()))})
+    got = {}
+    for r in block.search(queries, 5, lead).to_pylist():
+        got.setdefault(r["query"], []).append((-r["score"], r["doc_id"]))
+    for i, own in enumerate(asked):
+        sums = {}
+        for n in own:
+            for d, q in lists.get(n, {}).items():
+                sums[d] = sums.get(d, 0) + (2 ** (q / scoring.STEP) - 1 if q else 0)
+        assert got.get(i, []) == sorted((-round(s, 6), d) for d, s in sums.items())[:5]
